@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,21 @@ class Scratch:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def bounded_batches(spark: SparkSession, records: int = 4000, size: int = 16 << 20) -> None:
+    """Arrow batches of at most so many rows and bytes, so that long texts don't pile up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def text_groups(batches, column: int, size: int = 4 << 20):
+    """Slices of whole rows with about ``size`` bytes in the column of texts, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(at, to - at)
+            at = to

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
 from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .packing import op6_packing
+from .toxicity import op10_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_format": op8_chat_format,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
