@@ -1,11 +1,11 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: one for each word of a lexicon (general words of abuse, and words that the
-labelled training rows single out) and several patterns over them. A generative model with a hidden
-class estimates, by expectation maximisation, how often each voter fires in either class and how voters
-are correlated; correlated voters share their weight. A given label is one more voter of unknown
-accuracy, so wrong labels are outvoted. A linear classifier is then trained on the posterior labels and
-scores every text.
+Many voters look at a text: one for each entry of a lexicon (general words of abuse, and stems of words
+that the labelled training rows single out, in whatever language) and several patterns over how many
+findings there are and how dense they lie. A generative model with a hidden class estimates, by
+expectation maximisation, how often each voter fires in either class and how voters are correlated;
+correlated voters share their weight. A given label is one more voter of limited accuracy, so wrong
+labels are outvoted. A linear classifier is then trained on the posterior labels and scores every text.
 
 Learning reads a bounded sample of labelled rows (``SAMPLE_ROWS``, in the order of a hash of the id; a
 row over ``SAMPLE_CHARS`` characters is not drawn). Scoring reads the whole text of every row; labels,
@@ -34,7 +34,9 @@ SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 16_000
 #: Words that the training rows add to the lexicon at most.
 INDUCED = 64
-#: Bias and weight of "any finding" when nothing can be learnt.
+#: The least share of wrong labels that is reckoned with.
+LABEL_ERROR = 0.02
+#: Bias and weight of "two findings" when nothing can be learnt.
 FALLBACK = (-3.0, 6.0)
 
 #: Words of abuse, fixed.
@@ -66,7 +68,12 @@ _PLAIN = _byte_table({})
 _VEILED = _byte_table({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"})
 _SIGNS = frozenset(b"013457$@!")
 
-PATTERNS = ("any", "twice", "thrice", "five", "two kinds", "dense", "very dense", "veiled", "addressed")
+#: Findings in all, kinds of findings, and findings per word (with two findings at least) that fire a voter.
+TOTALS, KINDS, RATES = (2, 3, 6), (2, 3), (0.003, 0.006, 0.010, 0.014, 0.020, 0.040)
+#: Findings of one lexicon entry per word that fire its voter.
+OWN_RATE = 0.001
+MORE = ("veiled", "addressed")
+N_PATTERNS = len(TOTALS) + len(KINDS) + len(RATES) + len(MORE)
 #: Of address, fixed.
 _YOU = frozenset(w.encode() for w in ("you", "your", "yours", "ur", "du", "dich", "dein", "tu", "toi", "vous", "usted", "eres"))
 
@@ -75,47 +82,97 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
-def findings(text: bytes, lexicon: dict[bytes, int]) -> tuple[Counter, int, int, int]:
-    """Hits by lexicon entry, veiled hits, hits next to a word of address, number of words."""
+class Lexicon:
+    """Whole words and stems (which stand for every word that begins with them)."""
+
+    def __init__(self, words: list[bytes], stems: list[bytes]):
+        self.entries = [*words, *stems]
+        self.words = {w: i for i, w in enumerate(words)}
+        self.stems = {w: len(words) + i for i, w in enumerate(stems)}
+        self.sizes = sorted({len(w) for w in stems}, reverse=True)
+        self.heads = {w[:3] for w in self.entries}
+
+    def __len__(self) -> int:
+        return len(self.entries)
+
+    def find(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(position, entry) of the words found."""
+        heads, out = self.heads, []
+        for i, w in enumerate(words):
+            if w[:3] in heads:
+                k = self.words.get(w)
+                if k is None:
+                    k = next((self.stems[w[:n]] for n in self.sizes if w[:n] in self.stems), None)
+                if k is not None:
+                    out.append((i, k))
+        return out
+
+
+def measure(text: bytes, lexicon: Lexicon) -> tuple[np.ndarray, int, int, int, int]:
+    """Findings by entry, in all, veiled ones, ones near a word of address; number of words."""
     words = words_of(text)
-    hits = [w for w in words if w in lexicon]
-    near = 0
-    if hits:
-        at = [i for i, w in enumerate(words) if w in lexicon]
-        near = sum(any(x in _YOU for x in words[max(0, i - 3) : i + 4]) for i in at)
+    found = lexicon.find(words)
+    own = np.bincount([k for _, k in found], minlength=len(lexicon))
+    near = sum(any(x in _YOU for x in words[max(0, i - 3) : i + 4]) for i, _ in found)
     veiled = 0
     if any(s in text for s in _SIGNS):
-        veiled = max(0, sum(w in lexicon for w in text.translate(_VEILED).split()) - len(hits))
-    return Counter(lexicon[w] for w in hits), veiled, near, len(words)
+        veiled = max(0, len(lexicon.find(text.translate(_VEILED).split())) - len(found))
+    return own, len(found) + veiled, veiled, near, len(words)
+
+
+def votes_of(measured: tuple[np.ndarray, int, int, int, int]) -> np.ndarray:
+    """Which voters fire: the lexicon's entries, then the patterns."""
+    own, total, veiled, near, n = measured
+    rate = total / max(n, 1)
+    patterns = [
+        *(total >= t for t in TOTALS),
+        *(np.count_nonzero(own) >= k for k in KINDS),
+        *(total >= 2 and rate >= r for r in RATES),
+        veiled > 0,
+        near > 0,
+    ]
+    return np.concatenate([own > OWN_RATE * n, patterns])
 
 
-def votes(text: bytes, lexicon: dict[bytes, int]) -> np.ndarray:
-    """Which voters fire: the lexicon's words, then PATTERNS."""
-    found, veiled, near, n = findings(text, lexicon)
-    total = sum(found.values()) + veiled
-    out = np.zeros(len(lexicon) + len(PATTERNS), bool)
-    out[list(found)] = True
-    dense = total / max(n, 1)
-    out[len(lexicon) :] = [total >= 1, total >= 2, total >= 3, total >= 5, len(found) >= 2, dense > 0.002, dense > 0.02, veiled > 0, near > 0]
-    return out
+def votes(text: bytes, lexicon: Lexicon) -> np.ndarray:
+    return votes_of(measure(text, lexicon))
 
 
-def induce_lexicon(words_by_row: list[set[bytes]], toxic: np.ndarray) -> list[bytes]:
-    """Words that many unlike toxic rows hold and hardly any other row.
+def induce_stems(rows: list[list[bytes]], toxic: np.ndarray) -> list[bytes]:
+    """Beginnings of words that are many times as dense in toxic rows as in others.
 
     Near copies of one text would vouch for every word in it, so support counts distinct rows by the
-    least hash of their words, which near copies share.
+    least hash of their words, which near copies share. Of beginnings that stand for nearly the same
+    words the longest is taken.
     """
-    kinds = [min((hash_word(w) for w in ws), default=0) for ws in words_by_row]
-    inside, outside = defaultdict(set), defaultdict(set)
-    for ws, y, k in zip(words_by_row, toxic, kinds, strict=True):
-        for w in ws:
-            if len(w) > 2:
-                (inside if y else outside)[w].add(k)
-    n1 = len({k for k, y in zip(kinds, toxic, strict=True) if y})
-    least = max(8, 0.06 * n1)
-    good = [(len(s), w) for w, s in inside.items() if len(s) >= least and len(outside.get(w, ())) <= 0.05 * len(s)]
-    return [w for _, w in sorted(good, key=lambda x: (-x[0], x[1]))[:INDUCED]]
+    kinds = [min((hash_word(w) for w in set(ws)), default=0) for ws in rows]
+    weight = 1 / np.array([Counter(kinds)[k] for k in kinds])
+    dense = (defaultdict(float), defaultdict(float))
+    support: tuple[dict[str, set[int]], ...] = (defaultdict(set), defaultdict(set))
+    size = [weight[~toxic].sum(), weight[toxic].sum()]
+    for ws, y, k, own in zip(rows, toxic, kinds, weight, strict=True):
+        heads = Counter()
+        for w, n in Counter(ws).items():
+            t = w.decode("utf-8", "replace")
+            for m in range(3, min(len(t), 12) + 1):
+                heads[t[:m]] += n
+        for h, n in heads.items():
+            dense[int(y)][h] += own * n / len(ws)
+            support[int(y)][h].add(k)
+    least = max(6, 0.03 * size[1])
+    good = {
+        h: dense[1][h]
+        for h, s in support[1].items()
+        if len(s) >= least
+        and len(s) / size[1] > 5 * len(support[0].get(h, ())) / size[0]
+        and dense[1][h] / size[1] > max(2e-4, 8 * dense[0].get(h, 0.0) / size[0])
+    }
+    longer: dict[str, float] = defaultdict(float)
+    for h, d in good.items():
+        longer[h[:-1]] = max(longer[h[:-1]], d)
+    kept = [h for h, d in good.items() if longer.get(h, 0.0) < 0.9 * d]
+    kept = [h for h in kept if not any(h[:m] in set(kept) for m in range(3, len(h)))]
+    return [h.encode() for h in sorted(kept, key=lambda h: (-good[h], h))[:INDUCED]]
 
 
 def hash_word(word: bytes) -> int:
@@ -139,29 +196,31 @@ class LabelModel:
         off = np.log((1 - self.rates[1]) / (1 - self.rates[0]))
         return np.log(self.prior / (1 - self.prior)) + np.where(fired, on, off) @ self.weight
 
-    def fit(self, fired: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
-        """Returns the posterior of each row; ``start`` is where it begins."""
+    def fit(self, fired: np.ndarray, start: np.ndarray, rounds: int = 20) -> np.ndarray:
+        """Returns the posterior of each row; ``start`` is where it begins. The last voter is the given
+        label: it keeps its whole weight, and its accuracy is held within LABEL_ERROR."""
         post, n = start.astype(float), len(fired)
         x = fired.astype(float)
         for _ in range(rounds):
             self.prior = float(np.clip(post.mean(), 0.005, 0.995))
             n1 = post.sum()
             self.rates = np.stack([((1 - post) @ x + 0.1) / (n - n1 + 1), (post @ x + 0.1) / (n1 + 1)])
+            self.rates[:, -1] = np.clip(self.rates[:, -1], LABEL_ERROR, 1 - LABEL_ERROR)
             left = x - np.outer(post, self.rates[1]) - np.outer(1 - post, self.rates[0])
             scale = left.std(0) + 1e-6
             self.correlation = (left - left.mean(0)).T @ (left - left.mean(0)) / n / np.outer(scale, scale)
             alike = np.abs(self.correlation) - np.eye(x.shape[1])
             self.weight = 1 / (1 + np.where(alike > 0.1, alike, 0).sum(1))
+            self.weight[-1] = 1.0
             post = 1 / (1 + np.exp(-np.clip(self.log_odds(fired), -30, 30)))
         return post
 
 
-def features(text: bytes, lexicon: dict[bytes, int]) -> np.ndarray:
+def features(text: bytes, lexicon: Lexicon) -> np.ndarray:
     """Inputs of the classifier: the votes, and two measures of how much there is."""
-    fired = votes(text, lexicon)
-    found, veiled, _, n = findings(text, lexicon) if fired.any() else (Counter(), 0, 0, 1)
-    total = sum(found.values()) + veiled
-    return np.concatenate([fired, [np.log1p(total), min(1.0, 20 * total / max(n, 1))]]).astype(float)
+    measured = measure(text, lexicon)
+    _, total, _, _, n = measured
+    return np.concatenate([votes_of(measured), [np.log1p(total), min(1.0, 20 * total / max(n, 1))]]).astype(float)
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 2.0, rounds: int = 40) -> np.ndarray:
@@ -180,7 +239,7 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 2.0, rounds: in
 
 @dataclass
 class ToxicityModel:
-    lexicon: dict[bytes, int]
+    lexicon: Lexicon
     weights: np.ndarray
     label_model: LabelModel | None = None
 
@@ -193,17 +252,17 @@ def train(texts: list[bytes], toxic: np.ndarray) -> ToxicityModel:
     toxic = np.asarray(toxic, float) >= 0.5
     seeds = [w.encode() for w in SEEDS]
     if toxic.sum() < 5 or (~toxic).sum() < 5:
-        lexicon = {w: i for i, w in enumerate(seeds)}
-        weights = np.zeros(1 + len(lexicon) + len(PATTERNS) + 2)
+        lexicon = Lexicon(seeds, [])
+        weights = np.zeros(1 + len(lexicon) + N_PATTERNS + 2)
         weights[0], weights[1 + len(lexicon)] = FALLBACK
         return ToxicityModel(lexicon, weights)
-    lexicon = {w: i for i, w in enumerate(dict.fromkeys([*seeds, *induce_lexicon([set(words_of(t)) for t in texts], toxic)]))}
-    fired = np.stack([votes(t, lexicon) for t in texts])
+    rows = [words_of(t) for t in texts]
+    known = set(seeds)
+    lexicon = Lexicon(seeds, [s for s in induce_stems(rows, toxic) if s not in known])
+    seen = np.stack([np.append(votes(t, lexicon), y) for t, y in zip(texts, toxic, strict=True)])
     model = LabelModel()
-    seen = np.hstack([fired, toxic[:, None]])  # the given label votes too
     post = model.fit(seen, np.where(toxic, 0.9, 0.05))
-    x = np.stack([features(t, lexicon) for t in texts])
-    return ToxicityModel(lexicon, fit_linear(x, post), model)
+    return ToxicityModel(lexicon, fit_linear(np.stack([features(t, lexicon) for t in texts]), post), model)
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
