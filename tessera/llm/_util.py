@@ -88,3 +88,11 @@ def text_groups(batches, column: int, size: int = 4 << 20):
             to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def join_back(rows: DataFrame, found: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join what a grouping by ``keys`` has found to the rows. A hash beside the keys gives both sides
+    an exchange of their own; without it the grouping's exchange is used again, and adaptive execution
+    does not split a hot key there."""
+    rows, found = (x.withColumn("_h", F.xxhash64(*keys)) for x in (rows, found))
+    return rows.join(found, ["_h", *keys], how).drop("_h")

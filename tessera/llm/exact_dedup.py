@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import SPACE_RUN, Scratch, table, text_of
+from ._util import SPACE_RUN, Scratch, join_back, table, text_of
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -33,18 +33,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_RUN, " ")
 
 
-def _join_back(rows: DataFrame, found: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join what a grouping by ``keys`` has found to the rows. A hash beside the keys gives both sides
-    an exchange of their own; without it the grouping's exchange is used again, and adaptive execution
-    does not split a hot key there."""
-    rows, found = (x.withColumn("_h", F.xxhash64(*keys)) for x in (rows, found))
-    return rows.join(found, ["_h", *keys], how).drop("_h")
-
-
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with name: the least occurrence number among the rows whose keys are equal."""
     names = rows.groupBy(*keys).agg(F.min("occ").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = _join_back(rows, names, keys, "left")
+    out = join_back(rows, names, keys, "left")
     return out.withColumn("name", F.coalesce("least", "occ")).drop("least", *keys)
 
 
@@ -103,7 +95,7 @@ def dedup_exact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         # nulls last: the least id that there is; rows of that id are told apart by their number
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("least"),
     )
-    return _join_back(named, groups, ["level", "identity"], "inner").select(
+    return join_back(named, groups, ["level", "identity"], "inner").select(
         "doc_id",
         F.col("least.doc_id").alias("keep_id"),
         "group_size",

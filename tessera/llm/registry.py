@@ -7,11 +7,13 @@ from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_model import op1_lm_scoring
 from .packing import op6_packing
+from .pii import op2_pii
 from .toxicity import op10_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
