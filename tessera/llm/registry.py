@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .jaccard_join import op4_jaccard_join
 from .language_model import op1_lm_scoring
 from .packing import op6_packing
 from .pii import op2_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
