@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .fingerprints import op9_fingerprints
 from .jaccard_join import op4_jaccard_join
 from .language_model import op1_lm_scoring
 from .packing import op6_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
 
