@@ -85,8 +85,8 @@ def block_names(df: DataFrame, text: Column, keep: dict[str, Column], *, block_b
         level, depth = scratch.write(_named(pairs, ["a", "b"])), depth + 1
 
 
-def dedup_exact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256."""
+def duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256 and the row's number."""
     text = normalised(text_of(df, text_col))
     keep = {"doc_id": df[id_col], "row_no": F.monotonically_increasing_id(), "text_sha256": F.lower(F.sha2(text, 256))}
     named = block_names(df, text, keep, block_bytes=block_bytes)
@@ -101,11 +101,12 @@ def dedup_exact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         (F.col("row_no") == F.col("least.row_no")).alias("kept"),
         "text_sha256",
+        "row_no",
     )
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_exact(table(spark, sf_dir, "documents"))
+    return duplicates(table(spark, sf_dir, "documents")).drop("row_no")
 
 
 OP7_SQL = """
