@@ -238,10 +238,11 @@ def spread(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify(members: DataFrame, sets: DataFrame, *, threshold: float, partitions: int) -> DataFrame:
+def verify(members: DataFrame, sets: DataFrame, scratch: Scratch, *, threshold: float, partitions: int) -> DataFrame:
     """(row, comp) to (u, v, n): n links of u where v is null, and forest edges (u, v)."""
-    sized = members.join(sets.select("row", "size", "hashes"), "row")
-    count = members.join(sets.select("row", "size"), "row").groupBy("comp").agg(
+    # both sides grow with the corpus, so neither is ever broadcast
+    sized = scratch.write(sets.select("row", "size", "hashes").hint("merge").join(members, "row"))
+    count = sized.groupBy("comp").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_HASHES)).cast("int").alias("blocks")
     )
     dealt = join_back(sized, count, ["comp"], "inner").withColumn("own", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
@@ -302,17 +303,18 @@ def similarity_join(
     )
     docs = scratch.write(docs)
     reps = docs.where("row = rep").select("row")
-    sets = scratch.write(every.where("size > 0").join(reps, "row").select("row", "size", "mins", "hashes"))
-    leaves, large = choose_paths(sets, scratch, threshold=threshold)
+    # the search reads sketches only; the sets themselves travel once, those of members of components
+    sketches = scratch.write(every.where("size > 0").select("row", "mins").hint("merge").join(reps, "row"))
+    leaves, large = choose_paths(sketches, scratch, threshold=threshold)
     stars = join_back(large, large.groupBy("path").agg(F.min("row").alias("v")), ["path"], "inner")
-    near = connect_leaves(leaves, sets, threshold=threshold, partitions=partitions)
+    near = connect_leaves(leaves, sketches, threshold=threshold, partitions=partitions)
     near = scratch.write(near.unionByName(stars.select(F.col("row").alias("u"), "v").where("u <> v")))
     members = connected_components(near, scratch).select(F.col("node").alias("row"), F.col("label").alias("comp"))
-    found = scratch.write(verify(members, sets, threshold=threshold, partitions=partitions))
+    found = scratch.write(verify(members, every, scratch, threshold=threshold, partitions=partitions))
     links = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n_links"))
     groups = connected_components(found.where("v is not null").select("u", "v"), scratch)
     groups = groups.select(F.col("node").alias("rep"), F.col("label").alias("root"))
-    docs = docs.join(links.join(groups, "rep", "left"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    docs = join_back(docs, links.join(groups, "rep", "left"), ["rep"], "left").withColumn("root", F.coalesce("root", "rep"))
     docs = scratch.write(docs)
     whole = docs.groupBy("root").agg(first.alias("first"), F.count("*").alias("group_size"))
     return join_back(docs, whole, ["root"], "inner").select(
