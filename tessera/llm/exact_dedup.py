@@ -1,8 +1,8 @@
 """Exact deduplication by deterministic block naming. DataFrame operations only.
 
 The UTF-8 bytes of the normalised text are cut into blocks of a fixed size. Equal blocks are brought
-together by a grouping on the block itself and get one integer name: the least occurrence number in
-their group. Adjacent names are then paired, and pairs are named the same way, level after level,
+together by a grouping on the block itself and get one integer name, from the least occurrence number
+in their group. Adjacent names are then paired, and pairs are named the same way, level after level,
 until every document has a single integer. No hash decides anything, so names are free of collisions:
 two documents end with the same integer on the same level exactly when their texts are equal.
 
@@ -34,10 +34,15 @@ def normalised(text: Column) -> Column:
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with name: the least occurrence number among the rows whose keys are equal."""
+    """``rows`` with name: from the least occurrence number among the rows whose keys are equal.
+
+    Joined names are odd and a row's own are even, so they can't meet even where the two sides of the
+    join number their rows differently (an input in no fixed order).
+    """
     names = rows.groupBy(*keys).agg(F.min("occ").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     out = join_back(rows, names, keys, "left")
-    return out.withColumn("name", F.coalesce("least", "occ")).drop("least", *keys)
+    name = F.when(F.col("least").isNotNull(), F.col("least") * 2 + 1).otherwise(F.col("occ") * 2)
+    return out.withColumn("name", name).drop("least", *keys)
 
 
 def block_names(df: DataFrame, text: Column, keep: dict[str, Column], *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
