@@ -43,7 +43,7 @@ from .components import connected_components
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 SIGNATURE, LEAF, DEPTH = 64, 128, 4
 #: Sets and hashes of a block that is verified at once.
-BLOCK_SETS, BLOCK_HASHES = 2048, 4 << 20
+BLOCK_SETS, BLOCK_HASHES = 512, 4 << 20
 _ODD = np.random.default_rng(23).integers(0, 1 << 63, 64 + SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
