@@ -410,17 +410,25 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int
     return out
 
 
+#: Characters by which an added span's edge may be off.
+SNAP = 4
 _AROUND = " \t\r\n.,;:!?\"'*%&$#|=<>{}"
 _PARTS = re.compile(r"[0-9]+")
 _AT = re.compile(r"@|\bat\b")
 
 
 def accept(text: str, start: int, end: int, kind: int, taken: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
-    """An added span without what surrounds it, if it holds what its kind asks for and is free."""
+    """An added span without what surrounds it, if it holds what its kind asks for and is free. An edge
+    inside a run of letters and digits moves to the run's end, up to SNAP characters."""
     while start < end and text[start] in _AROUND:
         start += 1
     while end > start and text[end - 1] in _AROUND:
         end -= 1
+    for _ in range(SNAP):
+        if 0 < start < end and text[start - 1].isalnum() and text[start].isalnum():
+            start -= 1
+        if start < end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+            end += 1
     if any(a < end and start < b for a, b, _ in taken):
         return None
     said = text[start:end]
