@@ -36,6 +36,8 @@ SAMPLE_CHARS = 16_000
 INDUCED = 64
 #: The least share of wrong labels that is reckoned with.
 LABEL_ERROR = 0.02
+#: Voters whose residuals are correlated by more than this share their weight.
+CORRELATED = 0.4
 #: Bias and weight of "two findings" when nothing can be learnt.
 FALLBACK = (-3.0, 6.0)
 
@@ -210,7 +212,7 @@ class LabelModel:
             scale = left.std(0) + 1e-6
             self.correlation = (left - left.mean(0)).T @ (left - left.mean(0)) / n / np.outer(scale, scale)
             alike = np.abs(self.correlation) - np.eye(x.shape[1])
-            self.weight = 1 / (1 + np.where(alike > 0.1, alike, 0).sum(1))
+            self.weight = 1 / (1 + np.where(alike > CORRELATED, alike, 0).sum(1))
             self.weight[-1] = 1.0
             post = 1 / (1 + np.exp(-np.clip(self.log_odds(fired), -30, 30)))
         return post
