@@ -96,3 +96,16 @@ def join_back(rows: DataFrame, found: DataFrame, keys: list[str], how: str) -> D
     does not split a hot key there."""
     rows, found = (x.withColumn("_h", F.xxhash64(*keys)) for x in (rows, found))
     return rows.join(found, ["_h", *keys], how).drop("_h")
+
+
+def bounded_sample(df: DataFrame, key: Column, n: int, seed: int, total: int) -> DataFrame:
+    """At most n rows (with a column ``text``) in the order of a hash of the key.
+
+    Rows whose hash is too high to be among the first are dropped where they are read, so that a few
+    times n rows are all that meets in one task, however many partitions there are. ``total``: rows of
+    the whole table, which files say without being read.
+    """
+    order = F.xxhash64(key.cast("string"), F.lit(seed))
+    if total > 8 * n:
+        df = df.where(order <= F.lit(int(-(2**63) + 2**64 * (4 * n / total))))
+    return df.orderBy(order, "text").limit(n)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import Scratch, bounded_batches, crc_mod5, shuffle_partitions, table, text_groups, text_of
+from ._util import Scratch, bounded_batches, bounded_sample, crc_mod5, shuffle_partitions, table, text_groups, text_of
 
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 20_000
@@ -108,7 +108,7 @@ def choose_vocab(docs: list[list[bytes]]) -> Vocab:
     by_end: dict[bytes, np.ndarray] = defaultdict(lambda: np.zeros(anchors))
     seen: Counter = Counter()
     for d in docs:
-        ids = np.array([rank.get(w, -1) for w in d])
+        ids = np.array([rank.get(w, -1) for w in d], np.int64)
         profile = np.bincount(ids[(ids >= 0) & (ids < anchors)], minlength=anchors) / max(len(d), 1)
         np.add.at(by_word, ids[ids >= 0], profile)
         for e, n in Counter(w.rstrip(_ENDS)[-2:] for w, i in zip(d, ids, strict=True) if i < 0).items():
@@ -299,13 +299,10 @@ class Network:
         return out
 
 
-def sample_documents(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[list[bytes]]:
+def sample_documents(docs: DataFrame, total: int, rows: int = SAMPLE_ROWS) -> list[list[bytes]]:
     """Tokens of at most so many training documents, in the order of a hash of their id."""
-    some = (
-        docs.where("not held_out").where(F.char_length("text") <= SAMPLE_CHARS)
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(29)), "text")
-        .limit(rows).select(F.col("text").cast("binary").alias("text")).toArrow()
-    )
+    fit = docs.where("not held_out").where(F.char_length("text") <= SAMPLE_CHARS)
+    some = bounded_sample(fit, F.col("doc_id"), rows, 29, total).select(F.col("text").cast("binary").alias("text")).toArrow()
     return [tokens_of(t.as_py()) for t in some.column("text")]
 
 
@@ -454,7 +451,7 @@ def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(spark, "lm")
     out = crc_mod5(df[id_col]) == 1 if held_out is None else held_out
     docs = df.select(df[id_col].alias("doc_id"), out.alias("held_out"), text_of(df, text_col).alias("text"))
-    sample = sample_documents(docs)
+    sample = sample_documents(docs, df.count())
     vocab = choose_vocab(sample)
     shared = spark.sparkContext.broadcast(vocab)
     counts, n_tail = count_head(docs, shared)
