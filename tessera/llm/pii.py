@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import bounded_batches, table, text_groups, text_of
+from ._util import bounded_batches, bounded_sample, table, text_groups, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 16_000
@@ -477,10 +477,9 @@ def redact(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
-def sample_texts(docs: DataFrame, text) -> list[str]:
-    rows = docs.select(text.alias("t")).where(F.char_length("t").between(1, SAMPLE_CHARS))
-    rows = rows.orderBy(F.xxhash64("t", F.lit(41)), "t").limit(SAMPLE_ROWS)
-    return rows.toArrow().column("t").to_pylist()
+def sample_texts(docs: DataFrame, ident, text) -> list[str]:
+    rows = docs.select(ident.alias("i"), text.alias("text")).where(F.char_length("text").between(1, SAMPLE_CHARS))
+    return bounded_sample(rows, F.col("i"), SAMPLE_ROWS, 41, docs.count()).select("text").toArrow().column("text").to_pylist()
 
 
 def find_pii(
@@ -490,7 +489,7 @@ def find_pii(
     and, if asked for, the redacted text."""
     spark = df.sparkSession
     bounded_batches(spark)
-    tagger = spark.sparkContext.broadcast(train_tagger(sample_texts(df, text_of(df, text_col))))
+    tagger = spark.sparkContext.broadcast(train_tagger(sample_texts(df, df[id_col], text_of(df, text_col))))
     slim = df.select(df[id_col].alias("doc_id"), *[df[c] for c in keep], text_of(df, text_col).alias("_text"))
     own = slim.columns[:-1]
 
