@@ -1,6 +1,6 @@
 r"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests. DataFrame operations only.
 
-A text's paragraphs are its parts between line feeds and sentence ends. Each distinct paragraph's
+A text's paragraphs are its parts between line feeds and certain sentence ends. Each distinct paragraph's
 64-bit digest goes into one cell of each of three tables; a cell holds a signed count, the exclusive-or
 of its digests and of their check values. Sketches of two versions are subtracted cell by cell: what
 both hold vanishes. A cell left with a single digest gives it away; taking that digest out of its other
@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from ._util import shuffle_partitions, table, text_of
 
-#: Paragraphs end at line feeds, and at sentence ends before white space.
-PARAGRAPH = r"(?<=[.!?])[\x20\x09-\x0D]+|\n+"
-TABLES, WIDTH, ROUNDS = 3, 8, 16
+#: Paragraphs end at line feeds, and at sentence ends before white space if the sentence's last letter
+#: is one of a to m: a rule of the text alone, which makes paragraphs of two sentences or so.
+PARAGRAPH = r"(?<=[a-m][.!?])[\x20\x09-\x0D]+|\n+"
+TABLES, WIDTH, ROUNDS = 3, 8, 12
 #: Widths tried on a block that is stuck; paragraphs of a version in a block, about.
-RETRIES, BLOCK = (8, 24, 96), 6
+RETRIES, BLOCK = (8, 32, 128), 4
 
 
 def digests(text: Column) -> Column:
@@ -48,103 +49,111 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _place(key: Column, number: Column, width: int) -> Column:
-    return F.pmod(F.xxhash64(key, number), F.lit(width)).cast("int")
+def _placed(key: Column, n: Column | None, width: int) -> Column:
+    """A digest with its place in each table: bits of the digest itself (``width`` is a power of two)."""
+    places = [
+        F.shiftrightunsigned(key, 20 * t).bitwiseAND(F.lit(width - 1)).cast("int").alias(f"at{t}") for t in range(TABLES)
+    ]
+    return F.struct(key.alias("key"), _check(key).alias("check"), *([n.alias("n")] if n is not None else []), *places)
 
 
 def _cell(n: Column, key: Column, check: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: an expression that is written twice runs twice."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _tables(make) -> Column:
+    return F.struct(*[make(t).alias(f"t{t}") for t in range(TABLES)])
+
+
 def sketch(keys: Column, width: int = WIDTH) -> Column:
-    """The cells of an array of digests: table by table, ``width`` cells each."""
-    placed = F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("key"),
-            _check(k).alias("check"),
-            F.array(*[F.lit(t * width) + _place(k, F.lit(t), width) for t in range(TABLES)]).alias("at"),
-        ),
-    )
+    """The tables of an array of digests, ``width`` cells each."""
 
     def build(all_: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(TABLES * width - 1)),
-            lambda j: F.aggregate(
-                F.filter(all_, lambda p: p["at"][F.floor(j / F.lit(width)).cast("int")] == j),
-                _cell(F.lit(0), F.lit(0), F.lit(0)),
-                lambda a, p: _cell(a["n"] + 1, a["key"].bitwiseXOR(p["key"]), a["check"].bitwiseXOR(p["check"])),
-            ),
-        )
+        def one(t: int) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.lit(width - 1)),
+                lambda j: F.aggregate(
+                    F.filter(all_, lambda p: p[f"at{t}"] == j),
+                    _cell(F.lit(0), F.lit(0), F.lit(0)),
+                    lambda a, p: _cell(a["n"] + 1, a["key"].bitwiseXOR(p["key"]), a["check"].bitwiseXOR(p["check"])),
+                ),
+            )
 
-    # one pass computes the places, the other reads them
-    return F.transform(F.array(placed), build)[0]
+        return _tables(one)
+
+    return _let(F.transform(keys, lambda k: _placed(k, None, width)), build)
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"]))
-    )
+    minus = lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"]))
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return _let(both, lambda v: _tables(lambda t: F.zip_with(v["a"][f"t{t}"], v["b"][f"t{t}"], minus)))
+
 
+def _single(c: Column) -> Column:
+    return (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))
 
-def peel(cells: Column, width: int = WIDTH, rounds: int = ROUNDS) -> Column:
+
+def _left(c: Column) -> Column:
+    return (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)
+
+
+def peel(tables: Column, width: int = WIDTH, rounds: int = ROUNDS) -> Column:
     """Differing digests as an array of (key, n): n is 1 for the first version's, -1 for the second's.
     Null when cells are left that give nothing away."""
-    single = lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))
-    found_type = "array<struct<key:bigint,n:int>>"
+    names = [f"t{t}" for t in range(TABLES)]
 
     def one_round(state: Column, _: Column) -> Column:
+        seen = [F.filter(state[t], _single) for t in names]
         pure = F.array_distinct(
-            F.transform(F.filter(state["cells"], single), lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n")))
-        )
-        placed = F.transform(
-            pure,
-            lambda p: F.struct(
-                p["key"].alias("key"),
-                p["n"].alias("n"),
-                F.array(*[F.lit(t * width) + _place(p["key"], F.lit(t), width) for t in range(TABLES)]).alias("at"),
-            ),
+            F.transform(F.concat(*seen), lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n")))
         )
 
-        def without(all_: Column) -> Column:
-            return F.transform(
-                state["cells"],
-                lambda c, j: F.aggregate(
-                    F.filter(all_, lambda p: p["at"][F.floor(j / F.lit(width)).cast("int")] == j),
-                    _cell(c["n"], c["key"], c["check"]),
-                    lambda a, p: _cell(
-                        a["n"] - p["n"], a["key"].bitwiseXOR(p["key"]), a["check"].bitwiseXOR(_check(p["key"]))
-                    ),
-                ),
-            )
+        def go_on(all_: Column) -> Column:
+            def without(t: int) -> Column:
+                return F.transform(
+                    state[f"t{t}"],
+                    lambda c, j: F.when(
+                        F.exists(all_, lambda p: p[f"at{t}"] == j),
+                        F.aggregate(
+                            F.filter(all_, lambda p: p[f"at{t}"] == j),
+                            c,
+                            lambda a, p: _cell(a["n"] - p["n"], a["key"].bitwiseXOR(p["key"]), a["check"].bitwiseXOR(p["check"])),
+                        ),
+                    ).otherwise(c),
+                )
+
+            found = F.transform(all_, lambda p: F.struct(p["key"].alias("key"), p["n"].alias("n")))
+            after = [without(t).alias(f"t{t}") for t in range(TABLES)]
+            return F.when(
+                F.size(all_) > 0,
+                F.struct(*after, F.concat(state["found"], found).alias("found"), F.lit(True).alias("going")),
+            ).otherwise(F.struct(*[state[t].alias(t) for t in names], state["found"].alias("found"), F.lit(False).alias("going")))
+
+        return F.when(state["going"], _let(F.transform(pure, lambda p: _placed(p["key"], p["n"], width)), go_on)).otherwise(state)
 
-        # the places are computed once a round; a round that finds nothing leaves all as it is
-        next_ = F.transform(
-            F.array(placed),
-            lambda all_: F.struct(
-                F.when(F.size(all_) == 0, state["cells"]).otherwise(without(all_)).alias("cells"),
-                F.concat(
-                    state["found"], F.transform(all_, lambda p: F.struct(p["key"].alias("key"), p["n"].alias("n")))
-                ).alias("found"),
-            ),
-        )[0]
-        return F.when(F.exists(state["cells"], single), next_).otherwise(state)
-
-    start = F.struct(cells.alias("cells"), F.array().cast(found_type).alias("found"))
-    left = lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)),
-        start,
-        one_round,
-        lambda s: F.when(~F.exists(s["cells"], left), s["found"]),
+    found_type = "array<struct<key:bigint,n:int>>"
+    start = lambda v: F.struct(
+        *[v[t].alias(t) for t in names], F.array().cast(found_type).alias("found"), F.lit(True).alias("going")
     )
 
+    def finish(state: Column) -> Column:
+        some = F.lit(False)
+        for t in names:
+            some = some | F.exists(state[t], _left)
+        return F.when(~some, state["found"])
+
+    return _let(tables, lambda v: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start(v), one_round, finish))
+
 
 def differing(a: Column, b: Column, widths: tuple[int, ...] = RETRIES) -> Column:
     """How many digests are in one array only: sketched, subtracted and peeled, wider when stuck."""
-    tries = [F.size(peel(subtract(sketch(a, w), sketch(b, w)), w)) for w in widths]
-    # size(null) is -1 or null, depending on a setting: only found differences count
-    tries = [F.when(t >= 0, t) for t in tries]
+    tries = [F.array_size(peel(subtract(sketch(a, w), sketch(b, w)), w)) for w in widths]
     return F.coalesce(*tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
@@ -153,9 +162,12 @@ def likeness(a: Column, b: Column, d: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d))
 
 
-def as_text(cells: Column) -> Column:
+def as_text(tables: Column) -> Column:
     return F.array_join(
-        F.transform(cells, lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.hex(c["key"]), F.lit(":"), F.hex(c["check"]))),
+        F.transform(
+            _let(tables, lambda v: F.concat(*[v[f"t{t}"] for t in range(TABLES)])),
+            lambda c: F.concat(c["n"].cast("string"), F.lit(":"), F.hex(c["key"]), F.lit(":"), F.hex(c["check"])),
+        ),
         ";",
     )
 
@@ -192,10 +204,10 @@ def compare_versions(rows: DataFrame, pairs: dict[str, tuple[str, str]], keep: l
     """The kept columns and a likeness for each named pair of digest arrays. ``rows`` is partitioned by
     ``range``, and so is all that follows."""
     sides = list(dict.fromkeys(c for pair in pairs.values() for c in pair))
-    firsts = {n: F.size(peel(subtract(sketch(F.col(a)), sketch(F.col(b))))) for n, (a, b) in pairs.items()}
+    firsts = {n: F.array_size(peel(subtract(sketch(F.col(a)), sketch(F.col(b))))) for n, (a, b) in pairs.items()}
     rows = rows.select(
         "range", *keep, *sides, F.monotonically_increasing_id().alias("_row"),
-        *[F.when(d >= 0, d).alias(f"_d_{n}") for n, d in firsts.items()],
+        *[d.alias(f"_d_{n}") for n, d in firsts.items()],
     )
     blocks = F.ceil(F.greatest(*[F.size(s) for s in sides], F.lit(1)) / F.lit(BLOCK)).cast("int")
     stuck = F.lit(False)
