@@ -122,9 +122,26 @@ def summarize_at(
     return _summary(df, keys(t), formulas)
 
 
+def _in_pandas(t: Grouped, fn: Callable, schema) -> DataFrame:
+    """``fn`` over the groups' pandas frames; inside, columns have plain names, as dots confuse Spark here."""
+    names = t.columns
+    plain = [f"c{i}" for i in range(len(names))]
+
+    def run(g):
+        return fn(g.set_axis(names, axis=1))
+
+    return t.df.toDF(*plain).groupBy(*[plain[names.index(k)] for k in t.by]).applyInPandas(run, schema)
+
+
 def summarize_udf(t: Grouped, fn: Callable, schema: str) -> DataFrame:
     """Whole groups as pandas frames, for what no aggregate can say. A group must fit in memory."""
-    return t.df.groupBy(*[c(k) for k in t.by]).applyInPandas(fn, schema)
+    return _in_pandas(t, fn, schema)
+
+
+def transform_groups(t: Grouped, fn: Callable, schema: str | None = None) -> Grouped:
+    """A function of each group's pandas frame that returns a frame: whole-column functions that no
+    window can say. Groups must fit in memory; the schema is the group's own unless given."""
+    return t.with_df(_in_pandas(t, fn, schema or t.df.schema))
 
 
 def totals_row(df: DataFrame, label_column: str, label: str, *what: str | Selector) -> DataFrame:

@@ -155,11 +155,14 @@ def insert_column(df: DataFrame, at: int, name: str, value: Any) -> DataFrame:
     return out.select(*[c(n) for n in [*names[:at], name, *names[at:]]])
 
 
-def one_hot(df: DataFrame, name: str, categories: Iterable | None = None, na_value: str = "NA") -> DataFrame:
-    """A 0/1 column for each value, named ``name[value]``; the source goes. Without ``categories`` the
-    distinct values are fetched first (a job)."""
+def one_hot(
+    df: DataFrame, name: str, categories: Iterable | None = None, na_value: str = "NA", categorize: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """A 0/1 column for each value, named ``name[value]``; the source goes. ``categorize`` makes text of
+    other columns (a plain cast by default). Without ``categories`` the distinct values are fetched
+    first (a job)."""
     check_known(df, [name])
-    text = F.coalesce(c(name).cast("string"), F.lit(na_value))
+    text = F.coalesce((categorize(c(name)) if categorize else c(name)).cast("string"), F.lit(na_value))
     if categories is None:
         categories = sorted(r[0] for r in df.select(text.alias("v")).distinct().collect())
     new = [(text == F.lit(str(v))).cast("int").alias(f"{name}[{v}]") for v in categories]

@@ -193,3 +193,32 @@ def test_row_ids(spark, tmp_path):
     (tmp_path / "r.csv").write_text("v\n" + "\n".join(map(str, range(50))) + "\n")
     df = delim.read_csv(spark, str(tmp_path / "r.csv"), row_id=True)
     assert [r["v"] for r in df.orderBy(ROW_ID).collect()] == list(range(50))
+
+
+def test_samples_access_and_timing(spark):
+    import tessera as t
+    from pyspark.sql.types import DoubleType, StringType
+    from tessera.access import map_not_null
+    from tessera.sources import samples
+    from tessera.timing import measure
+
+    iris = samples.flowers(spark)
+    assert t.shape(iris) == (150, 5) and rows(t.count(iris, "Species")) == [("setosa", 50), ("versicolor", 50), ("virginica", 50)]
+    sleep = samples.sleep(spark)
+    assert t.shape(sleep) == (83, 11) and t.filter_rows(sleep, t.is_na("vore")).count() > 0
+    assert t.shape(samples.flights(spark, 1000)) == (1000, 16)
+    assert t.row(iris, 0, order_by=["Species", "Sepal.Length"])["Species"] == "setosa"
+    with pytest.raises(IndexError):
+        t.row(iris, 500, order_by="Species")
+    assert len(t.values(iris, 4)) == 150 and len(list(t.rows(sleep))) == 83
+    t.as_type(iris, "Species", StringType)
+    with pytest.raises(E.ColumnTypeCastError):
+        t.as_type(iris, "Species", DoubleType)
+    with pytest.raises(E.UnknownColumnError):
+        t.column(iris, 9)
+    assert map_not_null([1, None], str) == ["1", None]
+    assert str(measure("nothing", lambda: None, runs=3)).endswith("N=3")
+    ranked = t.transform_groups(t.group_by(iris, "Species"), lambda g: g.head(1))
+    assert ranked.df.count() == 3
+    by = t.one_hot(iris, "Sepal.Length", categorize=lambda v: F.when(v > 5.8, "long").otherwise("short"))
+    assert {"Sepal.Length[long]", "Sepal.Length[short]"} <= set(by.columns)
