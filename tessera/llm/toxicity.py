@@ -37,7 +37,7 @@ INDUCED = 64
 #: The least share of wrong labels that is reckoned with.
 LABEL_ERROR = 0.02
 #: Voters whose residuals are correlated by more than this share their weight.
-CORRELATED = 0.4
+CORRELATED = 0.3
 #: Bias and weight of "two findings" when nothing can be learnt.
 FALLBACK = (-3.0, 6.0)
 
@@ -148,26 +148,38 @@ def induce_stems(rows: list[list[bytes]], toxic: np.ndarray) -> list[bytes]:
     words the longest is taken.
     """
     kinds = [min((hash_word(w) for w in set(ws)), default=0) for ws in rows]
-    weight = 1 / np.array([Counter(kinds)[k] for k in kinds])
-    dense = (defaultdict(float), defaultdict(float))
-    support: tuple[dict[str, set[int]], ...] = (defaultdict(set), defaultdict(set))
+    same = Counter(kinds)
+    weight = np.array([1 / same[k] for k in kinds])
     size = [weight[~toxic].sum(), weight[toxic].sum()]
-    for ws, y, k, own in zip(rows, toxic, kinds, weight, strict=True):
-        heads = Counter()
-        for w, n in Counter(ws).items():
-            t = w.decode("utf-8", "replace")
-            for m in range(3, min(len(t), 12) + 1):
-                heads[t[:m]] += n
-        for h, n in heads.items():
-            dense[int(y)][h] += own * n / len(ws)
-            support[int(y)][h].add(k)
     least = max(6, 0.03 * size[1])
+
+    def collect(of: bool, only: set[str] | None) -> tuple[dict[str, float], dict[str, set[int]]]:
+        """Density and support of beginnings over the rows of one label."""
+        dense: dict[str, float] = defaultdict(float)
+        support: dict[str, set[int]] = defaultdict(set)
+        for ws, y, k, own in zip(rows, toxic, kinds, weight, strict=True):
+            if bool(y) != of:
+                continue
+            heads = Counter()
+            for w, n in Counter(ws).items():
+                t = w.decode("utf-8", "replace")
+                for m in range(3, min(len(t), 12) + 1):
+                    if only is None or t[:m] in only:
+                        heads[t[:m]] += n
+            for h, n in heads.items():
+                dense[h] += own * n / len(ws)
+                support[h].add(k)
+        return dense, support
+
+    # toxic rows name the candidates; the many other rows are then asked for those only
+    dense1, support1 = collect(True, None)
+    candidates = {h for h, s in support1.items() if len(s) >= least and dense1[h] / size[1] > 2e-4}
+    dense0, support0 = collect(False, candidates)
     good = {
-        h: dense[1][h]
-        for h, s in support[1].items()
-        if len(s) >= least
-        and len(s) / size[1] > 5 * len(support[0].get(h, ())) / size[0]
-        and dense[1][h] / size[1] > max(2e-4, 8 * dense[0].get(h, 0.0) / size[0])
+        h: dense1[h]
+        for h in candidates
+        if len(support1[h]) / size[1] > 5 * len(support0.get(h, ())) / size[0]
+        and dense1[h] / size[1] > 8 * dense0.get(h, 0.0) / size[0]
     }
     longer: dict[str, float] = defaultdict(float)
     for h, d in good.items():
