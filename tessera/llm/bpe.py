@@ -32,7 +32,7 @@ from ._util import bounded_batches, table, text_groups, text_of
 
 #: How the byte-level tokenizer parts a text into words; fixed.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_WORDS = 200_000
+MAX_WORDS = 400_000
 
 
 def default_vocabulary() -> str:
@@ -147,7 +147,7 @@ class TrieEncoder:
     def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Every distinct word with its ids, in sorted order, which is the trie's depth-first order."""
         id_of, bytes_of, longest = self.v.id_of, self.v.bytes_of, self.v.longest
-        get, follow, alone = id_of.get, self.may_follow, self.stands_alone
+        get, known, follow, alone = id_of.get, self.fits, self.may_follow, self.stands_alone
         last: list[int] = [-1]  # by depth on the path from the root; the root has no token
         path = b""
         for word in sorted(words):
@@ -161,7 +161,15 @@ class TrieEncoder:
             for depth in range(shared + 1, len(word) + 1):
                 for size in range(min(depth, longest), 0, -1):
                     token = get(word[depth - size : depth])
-                    if token is not None and (alone(token) if size == depth else follow(last[depth - size], token)):
+                    if token is None:
+                        continue
+                    if size == depth:
+                        fits = alone(token)
+                    else:
+                        fits = known.get(last[depth - size] << 20 | token)
+                        if fits is None:
+                            fits = follow(last[depth - size], token)
+                    if fits:
                         last.append(token)
                         break
                 else:
