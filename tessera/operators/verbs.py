@@ -186,7 +186,7 @@ def filter_rows(t: Table, *predicates: Any, order_by: OrderBy = None) -> Table:
     """Rows for which all predicates hold (missing is no). Aggregates in them cover the row's group."""
     for p in predicates:
         x = _context(t, order_by)
-        col = F.coalesce(resolve(p, x), F.lit(False))
+        col = resolve(p, x)
         if x.made or _has_window(col):
             t = rewrap(t, x.apply({"__keep": col}, _filter_by))
         else:
