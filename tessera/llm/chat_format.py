@@ -97,8 +97,11 @@ def _as_log(rows: DataFrame) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame(
-        [(-7, 0, "user", said), (-7, 1, TRAINED_ROLE, said)], "conv_id long, turn long, role string, text string"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(TRAINED_ROLE).alias("role"),
+        F.lit(said).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     read = format_chats(_as_log(turns)).withColumn("turns", read_back(F.col("formatted")))

@@ -185,9 +185,8 @@ def with_next(df: DataFrame, carry: list[str]) -> DataFrame:
     heads = placed.groupBy("range").agg(F.max("doc_id").alias("head")).collect()
     order = sorted(r["range"] for r in heads)
     follows = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}  # the next higher range; the lowest of the highest
-    pairs = spark.createDataFrame(
-        [(r["range"], r["head"], follows[r["range"]]) for r in heads], "range int, head long, guest_of int"
-    )
+    listed = [F.struct(*[F.lit(v).cast(k).alias(n) for v, n, k in ((r["range"], "range", "int"), (r["head"], "head", "long"), (follows[r["range"]], "guest_of", "int"))]) for r in heads]
+    pairs = spark.range(1).select(F.explode(F.array(*listed).cast("array<struct<range:int,head:bigint,guest_of:int>>")).alias("p")).select("p.*")
     first = Window.partitionBy("range").orderBy(F.desc("text"))
     guests = (
         placed.join(F.broadcast(pairs), "range").where(F.col("doc_id").eqNullSafe(F.col("head")))
