@@ -50,9 +50,9 @@ class Context:
         self.aggregates[name] = value
         return F.col(name)
 
-    def over(self, value: Column, *, frame: tuple[int, int] | None = None) -> Column:
-        """A positional function over the group in order; there must be keys."""
-        w = window(self.df, self.by, self.order_by)
+    def over(self, value: Column, *, frame: tuple[int, int] | None = None, back: bool = False) -> Column:
+        """A positional function over the group in order, or from its end; there must be keys."""
+        w = window(self.df, self.by, self.order_by, back=back)
         return value.over(w.rowsBetween(*frame) if frame else w)
 
     def positional(self, grouped: Callable[[Context], Column], whole: Callable[[DataFrame, str], DataFrame]) -> Column:

@@ -11,7 +11,7 @@ from ..order import Desc, OrderBy, Ranges, order_terms, window, with_index
 from .deferred import Context, Deferred, as_column, row_number
 from .exprs import ieee_div
 
-_FIRST, _HERE, _LAST = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
+_FIRST, _HERE = Window.unboundedPreceding, Window.currentRow
 
 
 def _shifted(value: str | Column, n: int, default, back: bool) -> Deferred:
@@ -131,9 +131,9 @@ def filled(value: str | Column, direction: str = DOWN) -> Deferred:
         down = direction == DOWN
 
         def grouped(g: Context) -> Column:
-            if down:
-                return g.over(F.last(col, ignorenulls=True), frame=(_FIRST, _HERE))
-            return g.over(F.first(col, ignorenulls=True), frame=(_HERE, _LAST))
+            # upwards is downwards from the end: a frame that grows takes one step for each row, while
+            # one that shrinks is computed anew for each
+            return g.over(F.last(col, ignorenulls=True), frame=(_FIRST, _HERE), back=not down)
 
         def whole(df: DataFrame, name: str) -> DataFrame:
             r = Ranges(df, x.order_by)
@@ -144,12 +144,7 @@ def filled(value: str | Column, direction: str = DOWN) -> Deferred:
                 F.last("__v", ignorenulls=True).over(r.before()) if down else F.first("__v", ignorenulls=True).over(r.after())
             )
             wide = r.carried({"__v": edge}, {"__v": over})
-            w = r.window()
-            own = (
-                F.last(col, ignorenulls=True).over(w.rowsBetween(_FIRST, _HERE))
-                if down
-                else F.first(col, ignorenulls=True).over(w.rowsBetween(_HERE, _LAST))
-            )
+            own = F.last(col, ignorenulls=True).over(r.window(back=not down).rowsBetween(_FIRST, _HERE))
             return wide.withColumn(name, F.coalesce(own, F.col("__v"))).drop("__v", r.name)
 
         return x.positional(grouped, whole)

@@ -64,8 +64,9 @@ def reversed_columns(df: DataFrame, order_by: OrderBy) -> list[Column]:
     return [k.desc_nulls_first() if up else k.asc_nulls_first() for k, up in order_terms(df, order_by)]
 
 
-def window(df: DataFrame, by: Iterable[str], order_by: OrderBy) -> WindowSpec:
-    return Window.partitionBy(*[c(k) for k in by]).orderBy(*sort_columns(df, order_by))
+def window(df: DataFrame, by: Iterable[str], order_by: OrderBy, *, back: bool = False) -> WindowSpec:
+    terms = reversed_columns(df, order_by) if back else sort_columns(df, order_by)
+    return Window.partitionBy(*[c(k) for k in by]).orderBy(*terms)
 
 
 def _bounds(keys: DataFrame, n: int) -> list:
@@ -103,8 +104,8 @@ class Ranges:
         self.last = len(bounds) + 1
         self.df = df.withColumn(self.name, F.when(key.isNull(), F.lit(self.last)).otherwise(number))
 
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(c(self.name)).orderBy(*sort_columns(self.df, self.order_by))
+    def window(self, *, back: bool = False) -> WindowSpec:
+        return window(self.df, [self.name], self.order_by, back=back)
 
     def carried(self, per_range: dict[str, Column], over: dict[str, Column]) -> DataFrame:
         """The frame with columns that sum up all ranges before a row's own. ``per_range`` are aggregates
