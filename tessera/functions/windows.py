@@ -6,6 +6,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..order import Desc, OrderBy, Ranges, order_terms, window, with_index
 from .deferred import Context, Deferred, as_column, row_number
@@ -137,15 +138,20 @@ def filled(value: str | Column, direction: str = DOWN) -> Deferred:
 
         def whole(df: DataFrame, name: str) -> DataFrame:
             r = Ranges(df, x.order_by)
-            keys = F.struct(*[_orderable(k, up) for k, up in order_terms(df, x.order_by)])
-            seen = F.when(col.isNotNull(), keys)
-            edge = F.max_by(col, seen) if down else F.min_by(col, seen)
+            terms = order_terms(df, x.order_by)
+            if all(up or _is_number(df, k) for k, up in terms):
+                seen = F.when(col.isNotNull(), F.struct(*[_orderable(k, up) for k, up in terms]))
+                edge = F.max_by(col, seen) if down else F.min_by(col, seen)
+            else:  # a key that can't be negated: the ranges' last values by a window of their own
+                whole_range = r.window(back=not down).rowsBetween(_FIRST, Window.unboundedFollowing)
+                r.df = r.df.withColumn("__edge", F.last(col, ignorenulls=True).over(whole_range))
+                edge = F.first("__edge")
             over = (
                 F.last("__v", ignorenulls=True).over(r.before()) if down else F.first("__v", ignorenulls=True).over(r.after())
             )
             wide = r.carried({"__v": edge}, {"__v": over})
             own = F.last(col, ignorenulls=True).over(r.window(back=not down).rowsBetween(_FIRST, _HERE))
-            return wide.withColumn(name, F.coalesce(own, F.col("__v"))).drop("__v", r.name)
+            return wide.withColumn(name, F.coalesce(own, F.col("__v"))).drop("__v", "__edge", r.name)
 
         return x.positional(grouped, whole)
 
@@ -153,13 +159,12 @@ def filled(value: str | Column, direction: str = DOWN) -> Deferred:
 
 
 def _orderable(key: Column, up: bool) -> Column:
-    """Larger for later rows: nulls come last; a descending key must be a number, date or time."""
-    value = key if up else -_number(key)
-    return F.struct(key.isNull().alias("none"), value.alias("value"))
+    """Larger for later rows: nulls come last; a descending key must be a number."""
+    return F.struct(key.isNull().alias("none"), (key if up else -key).alias("value"))
 
 
-def _number(key: Column) -> Column:
-    return key.cast("double")
+def _is_number(df: DataFrame, key: Column) -> bool:
+    return isinstance(df.select(key).schema.fields[0].dataType, NumericType)
 
 
 def _either(a: Deferred, b: Deferred) -> Deferred:

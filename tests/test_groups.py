@@ -11,6 +11,7 @@ from tessera.operators import bind as B
 from tessera.operators import grouping as G
 from tessera.operators import joins as J
 from tessera.operators import verbs as V
+from tessera.order import desc
 from tessera.sources.builders import frame_of, from_columns
 
 
@@ -109,6 +110,16 @@ def test_whole_frame_windows_against_lists(spark):
         assert (r["n"], r["s"], r["d"], r["u"]) == (k + 1, total, seen, later)
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "timestamp"])
+def test_fill_in_descending_order(spark, kind):
+    data = [(f"2024-01-01 00:00:{i:02d}" if kind == "timestamp" else f"{i:02d}", None if i % 3 else i) for i in range(40)]
+    df = spark.createDataFrame(data, "k string, v int").withColumn("k", F.col("k").cast(kind)).repartition(3)
+    down = [r["v"] for r in V.fill(df, "v", order_by=desc("k")).orderBy(F.desc("k")).collect()]
+    up = [r["v"] for r in V.fill(df, "v", direction=W.UP, order_by=desc("k")).orderBy(F.desc("k")).collect()]
+    assert up == [i - i % 3 for i in reversed(range(40))]
+    assert down == [i if i % 3 == 0 else (i + 3 - i % 3 if i + 3 - i % 3 < 40 else None) for i in reversed(range(40))]
+
+
 def test_joins(spark):
     foo = from_columns(spark, {"foo": ["a", "b", "c"], "bar": [2, 3, 4]})
     assert J.inner_join(foo, foo, "foo", suffixes=("_1", "_2")).columns == ["foo", "bar_1", "bar_2"]
