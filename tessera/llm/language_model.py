@@ -6,10 +6,15 @@ classes, found from its spelling. The output is factored into classes: the netwo
 class, then the state gives the word within a head class, while a word within a tail class follows its
 smoothed count in all training tokens (as in the base, all unseen words together are one type).
 
-Learning: the head, the spelling classes and the network come from a bounded sample of training
-documents (``SAMPLE_ROWS`` by a hash of the id, ``TRAIN_TOKENS`` tokens of gradient steps, documents up
-to ``SAMPLE_CHARS`` characters) by truncated backpropagation through time in numpy on the driver.
-Every count (of head and tail words, of types and tokens) is taken over all training documents.
+Learning covers all training documents, of any length: the head are the most frequent words of all
+(equal counts: least word), the spelling classes come from the profiles of all tail words, the output
+starts from counts of all tokens, and every partition takes gradient steps over all its training tokens.
+Partitions start from one network and their results are averaged, weighted by tokens; the average is the
+model. The network they start from is trained on the driver (truncated backpropagation through time in
+numpy) over ``TRAIN_TOKENS`` tokens of ``SAMPLE_ROWS`` documents of up to ``SAMPLE_CHARS`` characters,
+drawn by a hash of the id. In a partition texts are learnt in groups of ``LEARN_BYTES``, laid end to end
+and cut into streams; a document that is cut goes on with a fresh state. The average depends on which
+documents share a partition, so the score (no other column) may change with the layout of the files.
 
 Scoring reads whole documents. Documents are laid end to end in parallel streams and scored window by
 window; the state is carried from window to window and is reset only where a document begins.
@@ -29,9 +34,10 @@ training part, counted each. Rows with a null id count as id "".
 
 from __future__ import annotations
 
+import copy
 import io
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -49,6 +55,12 @@ SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 20_000
 TRAIN_TOKENS = 450_000
 EPOCHS = 2
+#: Words counted apart in a task before they are sent on; bytes of text, streams, steps and first rate of a partition's learning.
+COUNTED, LEARN_BYTES, LEARN_STREAMS, LEARN_STEPS, LEARN_RATE = 200_000, 4 << 20, 256, 24, 0.004
+#: Cells that counts of words are summed in, to tell which words can't be in the head.
+CELLS = 1 << 18
+#: Words whose profiles describe a document, and the unit of a profile (whole numbers add up alike in any order).
+ANCHORS, UNIT = 96, 1 << 20
 #: Classes of head words, words in each, tail classes, size of the state.
 HEAD_CLASSES, CLASS_SIZE, TAILS, STATE = 32, 64, 24, 24
 HEAD = HEAD_CLASSES * CLASS_SIZE
@@ -81,6 +93,13 @@ class Vocab:
     def tail(self, word: bytes) -> int:
         return self.ends.get(word.rstrip(_ENDS)[-2:], 0)
 
+    def coded(self, words: list[bytes]) -> np.ndarray:
+        """Ids of head words, HEAD + class of the others, and the end."""
+        ids = np.fromiter(map(self.id_of.get, words, repeat(-1)), np.int64, len(words))
+        odd = np.flatnonzero(ids < 0)
+        ids[odd] = [HEAD + self.tail(words[k]) for k in odd]
+        return np.append(ids, 0)
+
 
 def _clusters(rows: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.ndarray:
     """k-means on rows of unit length."""
@@ -96,27 +115,14 @@ def _clusters(rows: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.n
     return own
 
 
-def choose_vocab(docs: list[list[bytes]]) -> Vocab:
-    """The head by frequency, ordered so that words that occur in like documents share a class; the
-    endings of the other words grouped in the same way."""
-    counts = Counter(w for d in docs for w in d)
-    head = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: HEAD - 1]]
+def choose_vocab(head: list[bytes], by_word: np.ndarray, seen: dict[bytes, int], by_end: dict[bytes, np.ndarray]) -> Vocab:
+    """The head ordered so that words that occur in like documents share a class; the endings of the
+    other words grouped in the same way."""
     if not head:
         return Vocab([END], {})
-    rank = {w: i for i, w in enumerate(head)}
-    anchors, by_word = min(96, len(head)), np.zeros((len(head), min(96, len(head))))
-    by_end: dict[bytes, np.ndarray] = defaultdict(lambda: np.zeros(anchors))
-    seen: Counter = Counter()
-    for d in docs:
-        ids = np.array([rank.get(w, -1) for w in d], np.int64)
-        profile = np.bincount(ids[(ids >= 0) & (ids < anchors)], minlength=anchors) / max(len(d), 1)
-        np.add.at(by_word, ids[ids >= 0], profile)
-        for e, n in Counter(w.rstrip(_ENDS)[-2:] for w, i in zip(d, ids, strict=True) if i < 0).items():
-            by_end[e] += n * profile
-            seen[e] += n
     own = _clusters(by_word, 8)
     order = sorted(range(len(head)), key=lambda i: (own[i], i))
-    often = [e for e, _ in seen.most_common(600)]
+    often = sorted(seen, key=lambda e: (-seen[e], e))[:600]
     ends = {}
     if often:
         groups = _clusters(np.stack([by_end[e] for e in often]), TAILS - 1)
@@ -124,6 +130,26 @@ def choose_vocab(docs: list[list[bytes]]) -> Vocab:
     return Vocab([END, *(head[i] for i in order)], ends)
 
 
+class Adam:
+    """Moments of a network's parameters."""
+
+    def __init__(self, params: dict[str, np.ndarray]):
+        self.p, self.n = params, 0
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in params.items()} for _ in range(2))
+
+    def step(self, grads: dict[str, np.ndarray], tokens: int, rate: float) -> None:
+        self.n += 1
+        scale = 1 / tokens
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) * scale
+        scale /= max(1.0, norm / 2)
+        m, v, n = self.m, self.v, self.n
+        for k, g in grads.items():
+            g *= np.float32(scale)
+            m[k] += np.float32(0.1) * (g - m[k])
+            v[k] += np.float32(0.002) * (g * g - v[k])
+            self.p[k] -= np.float32(rate / (1 - 0.9**n)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.998**n)) + np.float32(1e-6))
+
+
 class Network:
     """A gated recurrent unit and a class-factored output; float32 numpy, gradients by hand."""
 
@@ -225,14 +251,15 @@ class Network:
             d_x[t] = np.hstack([d_z, d_r, d_an])
             grads["U"] += hp.T @ d_g
             d_h = (d_h * z + d_g @ self.p["U"].T) * keep[t][:, None]
-        np.add.at(grads["X"], x.ravel(), d_x.reshape(-1, 3 * s))
+        order = np.argsort(x.ravel(), kind="stable")
+        used, first = np.unique(x.ravel()[order], return_index=True)
+        grads["X"][used] = np.add.reduceat(d_x.reshape(-1, 3 * s)[order], first)
         return -float(logp.sum()), grads, h
 
     def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, streams: int = 32, steps: int = 24, rate: float = 0.01) -> None:
         """Adam over windows; ``docs`` hold ids that end with 0."""
         rng = np.random.default_rng(3)
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        n, total = 0, None
+        adam, total = Adam(self.p), None
         for epoch in range(epochs):
             flat = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
             first = np.append(True, flat[:-1] == 0)
@@ -243,17 +270,24 @@ class Network:
             h = np.zeros((width, STATE), "f4")
             total = total or epochs * (-(-size // steps))
             for t in range(0, size, steps):
-                n += 1
                 _, grads, h = self.window(x[t : t + steps], y[t : t + steps], keep[t : t + steps], h)
-                scale = 1 / y[t : t + steps].size
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) * scale
-                scale /= max(1.0, norm / 2)
-                now = rate * (1 - 0.9 * n / total)
-                for k, g in grads.items():
-                    g *= np.float32(scale)
-                    m[k] += np.float32(0.1) * (g - m[k])
-                    v[k] += np.float32(0.002) * (g * g - v[k])
-                    self.p[k] -= np.float32(now / (1 - 0.9**n)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.998**n)) + np.float32(1e-6))
+                adam.step(grads, y[t : t + steps].size, rate * (1 - 0.9 * (adam.n + 1) / total))
+
+    def learn(self, docs: list[np.ndarray], adam: Adam) -> int:
+        """One pass over every token of ``docs`` (ids that end with 0); returns how many there were.
+
+        Streams of equal length begin at even distances, so that neighbours share a token at most and none is left out."""
+        flat = np.concatenate(docs)
+        first = np.append(True, flat[:-1] == 0)
+        inputs = np.where(first, HEAD + TAILS, np.append(0, flat[:-1]))
+        width = min(LEARN_STREAMS, max(1, len(flat) // LEARN_STEPS))
+        at = np.arange(width) * len(flat) // width + np.arange(-(-len(flat) // width))[:, None]
+        h = np.zeros((width, STATE), "f4")
+        for t in range(0, len(at), LEARN_STEPS):
+            now = at[t : t + LEARN_STEPS]
+            _, grads, h = self.window(inputs[now], flat[now], (~first[now]).astype("f4"), h)
+            adam.step(grads, now.size, LEARN_RATE / np.sqrt(1 + adam.n / 64))
+        return len(flat)
 
     def score(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log P of every token. ``ids`` holds documents end to end; document i is bounds[i]:bounds[i+1].
@@ -300,40 +334,176 @@ class Network:
 
 
 def sample_documents(docs: DataFrame, total: int, rows: int = SAMPLE_ROWS) -> list[list[bytes]]:
-    """Tokens of at most so many training documents, in the order of a hash of their id."""
+    """Tokens of at most so many training documents, in the order of a hash of their id, for the network that learning starts from."""
     fit = docs.where("not held_out").where(F.char_length("text") <= SAMPLE_CHARS)
     some = bounded_sample(fit, F.col("doc_id"), rows, 29, total).select(F.col("text").cast("binary").alias("text")).toArrow()
     return [tokens_of(t.as_py()) for t in some.column("text")]
 
 
-def count_head(docs: DataFrame, vocab) -> tuple[np.ndarray, int]:
-    """Training counts of the head's words, and the number of tail tokens of all documents."""
+def _merged(parts: DataFrame, add) -> dict[str, np.ndarray]:
+    """Arrays of all tasks, (slot, blob) rows, put together 32 by 32; ``add`` takes a list of them in the order of slots."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_of = vocab.value.id_of
-        counts, tail = np.zeros(HEAD, np.int64), 0
+    def up(group: pa.Table) -> pa.Table:
+        blobs = group.sort_by("was").column("blob").to_pylist()
+        return pa.table({"slot": group.column("slot")[:1], "blob": pa.array([_stored(add([_loaded(b) for b in blobs]))], pa.binary())})
+
+    for _ in range(2):
+        parts = parts.select(F.shiftright("slot", 5).alias("slot"), F.col("slot").alias("was"), "blob").groupBy("slot").applyInArrow(up, _SLOTS)
+    found = [_loaded(r["blob"]) for r in sorted(parts.collect(), key=lambda r: r["slot"])]
+    return add(found) if found else {}
+
+
+_SLOTS = "slot long, blob binary"
+
+
+def _stored(arrays: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez_compressed(out, **arrays)
+    return out.getvalue()
+
+
+def _loaded(raw: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(raw)) as found:
+        return dict(found)
+
+
+def _slot(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "blob": pa.array([_stored(arrays)], pa.binary())})
+
+
+def head_words(docs: DataFrame, likely: list[bytes]) -> dict[bytes, int]:
+    """The most frequent words of all training documents with their counts, most frequent first.
+
+    A first reading sums all counts by a hash of the word, and counts the ``likely`` words. The least of
+    the HEAD - 1 highest counts of likely words is a count that every head word reaches, and so does the
+    sum it is part of; the second reading sends on only words whose sum does. ``likely`` has no influence
+    on the result.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[Counter]:
+        counts: Counter = Counter()
         for batch in batches:
+            for text in batch.column(0):
+                counts.update(tokens_of(text.as_py()))
+                if len(counts) >= COUNTED:
+                    yield counts
+                    counts = Counter()
+        yield counts
+
+    def cell_of(counts: Counter) -> np.ndarray:
+        return np.fromiter(map(word_hash, counts), np.uint64, len(counts)) % np.uint64(CELLS)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, known = np.zeros(CELLS), np.zeros(len(likely), np.int64)
+        for counts in counted(batches):
+            n = np.fromiter(counts.values(), float, len(counts))
+            cells += np.bincount(cell_of(counts).astype(np.int64), weights=n, minlength=CELLS)
+            known += np.fromiter((counts[w] for w in likely), np.int64, len(likely))
+        yield _slot({"cells": cells, "known": known})
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for counts in counted(batches):
+            high = reach.value[cell_of(counts)]
+            some = [(w, n) for (w, n), x in zip(counts.items(), high.tolist(), strict=True) if x]
+            words = pa.table({"word": pa.array([w for w, _ in some], pa.binary()), "n": pa.array([n for _, n in some], pa.int64())})
+            yield from words.to_batches(max_chunksize=20_000)
+
+    slim = docs.where("not held_out").select(F.col("text").cast("binary"))
+    first = _merged(slim.mapInArrow(sums, _SLOTS), lambda parts: {k: sum(p[k] for p in parts) for k in ("cells", "known")})
+    if not first:
+        return {}
+    least = np.sort(first["known"])[-(HEAD - 1)] if len(likely) >= HEAD - 1 else 1
+    reach = docs.sparkSession.sparkContext.broadcast(first["cells"] >= least)
+    found = slim.mapInArrow(sent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {bytes(r["word"]): r["n"] for r in found.orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()}
+
+
+def _end_code(word: bytes) -> int:
+    end = word.rstrip(_ENDS)[-2:]
+    return len(end) << 16 | int.from_bytes(end, "big")
+
+
+def word_profiles(docs: DataFrame, head: list[bytes]) -> tuple[np.ndarray, dict, dict, int, int]:
+    """Over all training documents: the sum of profiles (shares of the most frequent words in a document)
+    of each head word; counts and sums of profiles of the other words by their ending; the number of
+    documents. Last the number of tail tokens of all documents."""
+    anchors, shared = min(ANCHORS, len(head)), docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, size = shared.value, len(shared.value)
+        by_word, place = np.zeros((size, anchors)), np.full(3 << 16, -1, np.int64)
+        codes, seen, by_end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, anchors))
+        n_docs = n_tail = 0
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            profiles, ids, ends, owners, end_owners = [], [], [], [], []
             for text, out in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words = tokens_of(text.as_py())
-                ids = np.fromiter(map(id_of.get, words, repeat(-1)), np.int64, len(words))
-                known = ids[ids >= 0]
-                tail += len(ids) - len(known)
-                if not out:
-                    counts += np.bincount(known, minlength=HEAD)
-                    counts[0] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(np.append(at, -1), pa.int32()), "n": pa.array(np.append(counts[at], tail))})
-
-    slim = docs.select(F.col("text").cast("binary"), "held_out")
-    found = slim.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(HEAD, np.int64)
-    tail = 0
-    for r in found:
-        if r["id"] < 0:
-            tail = r["n"]
-        else:
-            counts[r["id"]] = r["n"]
-    return counts, tail
+                own = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
+                odd = np.flatnonzero(own < 0)
+                n_tail += len(odd)
+                if out:
+                    continue
+                own = own[own >= 0]
+                profile = np.bincount(own[own < anchors], minlength=anchors) / max(len(words), 1)
+                ids.append(own)
+                ends.append(np.fromiter((_end_code(words[k]) for k in odd), np.int64, len(odd)))
+                owners.append(np.full(len(own), len(profiles)))
+                end_owners.append(np.full(len(odd), len(profiles)))
+                profiles.append(np.rint(profile * UNIT))
+            if not profiles:
+                continue
+            n_docs += len(profiles)
+            profiles, rows = np.stack(profiles), len(profiles)
+            held = np.bincount(np.concatenate(owners) * size + np.concatenate(ids), minlength=rows * size).reshape(rows, size)
+            by_word += held.T.astype(float) @ profiles
+            kinds, which = np.unique(np.concatenate(ends), return_inverse=True)
+            fresh = kinds[place[kinds] < 0]
+            place[fresh] = len(codes) + np.arange(len(fresh))
+            codes, seen = np.append(codes, fresh), np.append(seen, np.zeros(len(fresh), np.int64))
+            by_end = np.concatenate([by_end, np.zeros((len(fresh), anchors))])
+            held = np.bincount(np.concatenate(end_owners) * len(kinds) + which, minlength=rows * len(kinds)).reshape(rows, len(kinds))
+            seen[place[kinds]] += held.sum(0)
+            by_end[place[kinds]] += held.T.astype(float) @ profiles
+        yield _slot({"by_word": by_word, "codes": codes, "seen": seen, "by_end": by_end, "n": np.array([n_docs, n_tail])})
+
+    def add(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        codes, which = np.unique(np.concatenate([p["codes"] for p in parts]), return_inverse=True)
+        seen, by_end = np.zeros(len(codes), np.int64), np.zeros((len(codes), anchors))
+        np.add.at(seen, which, np.concatenate([p["seen"] for p in parts]))
+        np.add.at(by_end, which, np.concatenate([p["by_end"] for p in parts]))
+        return {"by_word": sum(p["by_word"] for p in parts), "codes": codes, "seen": seen, "by_end": by_end, "n": sum(p["n"] for p in parts)}
+
+    found = _merged(docs.select(F.col("text").cast("binary"), "held_out").mapInArrow(run, _SLOTS), add)
+    if not found:
+        return np.zeros((len(head), anchors)), {}, {}, 0, 0
+    names = [(c & 0xFFFF).to_bytes(c >> 16, "big") for c in found["codes"].tolist()]
+    seen, by_end = dict(zip(names, found["seen"].tolist(), strict=True)), dict(zip(names, found["by_end"], strict=True))
+    return found["by_word"], seen, by_end, *found["n"].tolist()
+
+
+def learn_all(docs: DataFrame, vocab: Vocab, net: Network) -> int:
+    """Every partition learns all its training documents from ``net``, which then becomes the average of
+    what they found, weighted by tokens. Returns the number of tokens learnt from."""
+    start = docs.sparkSession.sparkContext.broadcast((vocab, net))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own = start.value[0], copy.deepcopy(start.value[1])
+        adam, tokens = Adam(own.p), 0
+        for group in text_groups(batches, 0, LEARN_BYTES):
+            tokens += own.learn([words.coded(tokens_of(t.as_py())) for t in group.column(0)], adam)
+        if tokens:
+            yield _slot({**own.p, "n": np.array([tokens])})
+
+    def add(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        n = sum(p["n"] for p in parts)
+        return {k: sum(p[k] * (p["n"] / n) for p in parts).astype("f4") for k in net.p} | {"n": n}
+
+    slim = docs.where("not held_out").select(F.col("text").cast("binary"))
+    found = _merged(slim.mapInArrow(run, _SLOTS), add)
+    if not found:
+        return 0
+    net.p = {k: found[k] for k in net.p}
+    return int(found["n"][0])
 
 
 def _packed(table_: pa.Table) -> bytes:
@@ -452,23 +622,27 @@ def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     out = crc_mod5(df[id_col]) == 1 if held_out is None else held_out
     docs = df.select(df[id_col].alias("doc_id"), out.alias("held_out"), text_of(df, text_col).alias("text"))
     sample = sample_documents(docs, df.count())
-    vocab = choose_vocab(sample)
-    shared = spark.sparkContext.broadcast(vocab)
-    counts, n_tail = count_head(docs, shared)
+    likely = [w for w, _ in Counter(w for words in sample for w in words).most_common(2 * HEAD)]
+    found = head_words(docs, likely)
+    by_word, seen, by_end, n_docs, n_tail = word_profiles(docs, list(found))
+    vocab = choose_vocab(list(found), by_word, seen, by_end)
+    counts = np.zeros(HEAD, np.int64)
+    counts[: len(vocab.words)] = [n_docs, *(found[w] for w in vocab.words[1:])]
     net = Network(len(vocab.words))
-    coded, size = [], 0
-    for words in sample:
-        if size < TRAIN_TOKENS:
-            coded.append(np.array([*(vocab.id_of.get(w, -1 - vocab.tail(w)) for w in words), 0]))
-            coded[-1] = np.where(coded[-1] < 0, HEAD - 1 - coded[-1], coded[-1])
-            size += len(coded[-1])
-    del sample
-    if coded:
-        seen = np.bincount(np.concatenate(coded), minlength=HEAD + TAILS)
-        # head words by their counts in all training documents, tail classes by their share of the sample
-        share = counts[: len(vocab.words)].sum() / max(1, seen[:HEAD].sum())
-        net.start_from(counts[: len(vocab.words)].astype(float), seen[HEAD:] * share)
-        net.train(coded)
+    if n_docs:
+        tails = np.zeros(TAILS)
+        for e, n in seen.items():
+            tails[vocab.ends.get(e, 0)] += n
+        net.start_from(counts[: len(vocab.words)].astype(float), tails)
+        coded, size = [], 0
+        for words in sample:
+            if size < TRAIN_TOKENS:
+                coded.append(vocab.coded(words))
+                size += len(coded[-1])
+        if coded:
+            net.train(coded)
+        del coded, sample
+        learn_all(docs, vocab, net)
     model = spark.sparkContext.broadcast((vocab, net, counts))
     buckets = max(shuffle_partitions(spark), -(-n_tail // BUCKET_TOKENS))
     asked = scratch.write(_score_chunks(docs, model, buckets))

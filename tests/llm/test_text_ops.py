@@ -347,6 +347,35 @@ def test_language_model_of_edges(edge_docs, edge_rows, no_docs):
     assert {r.train_tokens for r in alone} == {0} and all(math.isfinite(r.score) for r in alone)
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 40)) for i in range(L.SAMPLE_ROWS + 300)]
+    rows += [(5000 + i, " ".join(f"long{rng.randrange(40)}" for _ in range(L.SAMPLE_CHARS // 5))) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("held_out", F.lit(False))
+    counts = Counter(w for _, t in rows for w in t.encode().split())
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: L.HEAD - 1]
+    head = L.head_words(docs, [])
+    assert list(head.items()) == want and b"long7" in head  # only texts of over SAMPLE_CHARS have it
+    assert list(L.head_words(docs, sorted(counts)[: 2 * L.HEAD]).items()) == want
+    by_word, seen, by_end, n_docs, n_tail = L.word_profiles(docs, list(head))
+    tails = Counter()
+    for w, n in counts.items():
+        tails[w.rstrip(L._ENDS)[-2:]] += n * (w not in head)
+    assert seen == {e: n for e, n in tails.items() if n} and n_docs == len(rows) and n_tail == sum(seen.values())
+    net = L.Network(len(head) + 1)
+    before = {k: v.copy() for k, v in net.p.items()}
+    assert L.learn_all(docs, L.choose_vocab(list(head), by_word, seen, by_end), net) == sum(counts.values()) + len(rows)
+    assert all((net.p[k] != before[k]).any() for k in before)
+
+
+def test_language_model_learns_from_long_documents_only(spark):
+    text = " ".join(f"{a} {b}" for a, b in [("aa", "bb"), ("cc", "dd"), ("ee", "ff")] * 1500)
+    rows = [(i, text) for i in range(8)]
+    assert len(text) > L.SAMPLE_CHARS
+    got = L.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), held_out=F.col("doc_id") == 0).where("held_out").first()
+    assert got.score > got.base_score  # a network that has learnt nothing is worse than counts
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
 def test_language_model_beats_the_base(spark):
     rows = L.op1_lm_scoring(spark, "/root/testdata/sf0.001").where("held_out").collect()
