@@ -441,6 +441,13 @@ def q_join_null_keys(t):
     return J.inner_join(h, h, "user_id")
 
 
+@query(f"""SELECT a.user_id, a.event_id, b.n, b.first_event FROM {_HOLES} a
+JOIN (SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM {_HOLES} GROUP BY 1) b ON a.user_id IS NOT DISTINCT FROM b.user_id""")
+def q_join_null_keys_all(t):
+    h = V.select(t.holes, "user_id", "event_id")
+    return J.inner_join(h, G.summarize(G.group_by(h, "user_id"), n=A.n(), first_event=A.minimum("event_id")), "user_id")
+
+
 @query("""SELECT r_regionkey, r_name, NULL::INT AS n_nationkey, NULL::VARCHAR AS n_name FROM region
 UNION ALL SELECT NULL, NULL, n_nationkey, n_name FROM nation""")
 def q_join_empty_by_outer(t):
