@@ -863,6 +863,12 @@ def q_complete(t):
     return R.complete(G.count(t.events.where("user_id < 40"), "user_id", "event_type"), "user_id", "event_type")
 
 
+@query("""WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT u.user_id, e.event_type, s.n FROM (SELECT DISTINCT user_id FROM s) u CROSS JOIN (SELECT DISTINCT event_type FROM s) e LEFT JOIN s USING (user_id, event_type)""")
+def q_complete_all(t):
+    return R.complete(G.count(t.events, "user_id", "event_type"), "user_id", "event_type")
+
+
 @query("SELECT n_nationkey, n_name AS \"r.n_name\", n_regionkey AS \"r.n_regionkey\" FROM nation")
 def q_unfold_struct(t):
     nested = t.nation.select("n_nationkey", F.struct("n_name", "n_regionkey").alias("r"))
