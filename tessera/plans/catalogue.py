@@ -852,6 +852,11 @@ def q_unnest_list(t):
     return R.unnest(V.select(t.embeddings, "vec_id", "embedding").where("vec_id < 50"), "embedding")
 
 
+@query("SELECT vec_id, unnest(embedding) AS embedding FROM embeddings")
+def q_unnest_list_all(t):
+    return R.unnest(V.select(t.embeddings, "vec_id", "embedding"), "embedding")
+
+
 @query("SELECT a.o_orderstatus, b.o_orderpriority FROM (SELECT DISTINCT o_orderstatus FROM orders) a, (SELECT DISTINCT o_orderpriority FROM orders) b")
 def q_expand(t):
     return R.expand(t.orders, "o_orderstatus", "o_orderpriority")
