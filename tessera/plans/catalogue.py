@@ -374,6 +374,12 @@ def q_sort_expression(t):
     return V.select(V.sorted_by(t.orders, F.abs(c("o_totalprice") - 150000), "o_orderkey").limit(20), "o_orderkey")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY abs(o_totalprice - 150000), o_orderkey) AS BIGINT) AS row_number, o_orderkey FROM orders")
+def q_sort_expression_all(t):
+    numbered = V.add_row_number(V.select(t.orders, "o_orderkey", "o_totalprice"), order_by=[F.abs(c("o_totalprice") - 150000), "o_orderkey"])
+    return V.select(numbered, "row_number", "o_orderkey")
+
+
 # ------------------------------------------------------------ joins
 
 
