@@ -417,6 +417,14 @@ def q_outer_join(t):
     return J.outer_join(_customers(t).where("key % 3 = 0"), _orders(t).where("key % 2 = 0"))
 
 
+@query("""WITH b AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN o_custkey ELSE -o_custkey END AS o_custkey, o_orderkey, o_totalprice FROM orders)
+SELECT coalesce(c_custkey, o_custkey) AS key, c_mktsegment, o_orderkey, o_totalprice FROM customer FULL JOIN b ON o_custkey = c_custkey""")
+def q_outer_join_all(t):
+    # odd keys of orders are negated: rows without a match on both sides, and none is dropped
+    moved = _orders(t).withColumn("key", F.expr("CASE WHEN key % 2 = 0 THEN key ELSE -key END"))
+    return J.outer_join(_customers(t), moved)
+
+
 @query("SELECT c_custkey AS key, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def q_semi_join(t):
     return J.semi_join(_customers(t), _orders(t).where("o_totalprice > 200000"), "key")
