@@ -819,6 +819,14 @@ def q_spread(t):
     return R.spread(counts, "event_type", "n", keys_=["click", "view"], fill=0)
 
 
+@query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error,
+count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'signup') AS signup,
+count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1""")
+def q_spread_all(t):
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    return R.spread(G.count(t.events, "user_id", "event_type"), "event_type", "n", keys_=kinds, fill=0)
+
+
 @query("""SELECT o_orderstatus, max(n) FILTER (o_orderpriority = '1-URGENT') AS "1-URGENT", max(n) FILTER (o_orderpriority = '2-HIGH') AS "2-HIGH",
 max(n) FILTER (o_orderpriority = '3-MEDIUM') AS "3-MEDIUM", max(n) FILTER (o_orderpriority = '4-NOT SPECIFIED') AS "4-NOT SPECIFIED",
 max(n) FILTER (o_orderpriority = '5-LOW') AS "5-LOW" FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) q GROUP BY 1""")
