@@ -1,6 +1,10 @@
 r"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests. DataFrame operations only.
 
-A text's paragraphs are its parts between line feeds and sentence ends. Each distinct paragraph's
+A text's paragraphs are its parts between line feeds and sentence ends; one of more than ``LONG`` words
+is parted further after words whose hash meets a condition (one word in ``EVERY``, about), so that an
+edit leaves the parts elsewhere as they are. A paragraph of up to ``LONG`` words, or without white space,
+is whole: any edit of it makes it another. So a text of one such paragraph shares nothing with an edited
+one, and neither does a paragraph little over ``LONG`` words with what an edit makes shorter. Each distinct paragraph's
 64-bit digest goes into one cell of each of three tables; a cell holds a signed count, the exclusive-or
 of its digests and of their check values. Sketches of two versions are subtracted cell by cell: what
 both hold vanishes. A cell left with a single digest gives it away; taking that digest out of its other
@@ -33,14 +37,34 @@ from ._util import shuffle_partitions, table, text_of
 
 #: Paragraphs end at line feeds, and at sentence ends before white space.
 PARAGRAPH = r"(?<=[.!?])[\x20\x09-\x0D]+|\n+"
+#: Where words begin; words of a paragraph that stays whole, and of a part of a longer one, about (a power of two).
+WORD = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+LONG, EVERY = 32, 16
 TABLES, WIDTH, ROUNDS = 3, 8, 12
 #: Widths tried on a block that is stuck; paragraphs of a version in a block, about.
 RETRIES, BLOCK = (8, 32, 128), 4
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: an expression that is written twice runs twice."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _parts(paragraph: Column) -> Column:
+    """A paragraph, in parts if it is long. No paragraph holds a line feed."""
+
+    def cut(words: Column) -> Column:
+        ends = lambda w: F.xxhash64(w, F.lit(11)).bitwiseAND(F.lit(EVERY - 1)) == 0
+        marked = F.transform(words, lambda w: F.when(ends(w), F.concat(w, F.lit("\n"))).otherwise(w))
+        return F.when(F.size(words) > LONG, F.split(F.array_join(marked, ""), "\n", -1)).otherwise(F.array(paragraph))
+
+    # more than LONG words take more than 2 * LONG characters
+    return F.when(F.char_length(paragraph) <= 2 * LONG, F.array(paragraph)).otherwise(_let(F.split(paragraph, WORD, -1), cut))
+
+
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs."""
-    parts = F.filter(F.split(text, PARAGRAPH, -1), lambda p: p != "")
+    parts = F.filter(F.flatten(F.transform(F.split(text, PARAGRAPH, -1), _parts)), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -60,11 +84,6 @@ def _cell(n: Column, key: Column, check: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once: an expression that is written twice runs twice."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _tables(make) -> Column:
     return F.struct(*[make(t).alias(f"t{t}") for t in range(TABLES)])
 

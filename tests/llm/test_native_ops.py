@@ -115,6 +115,13 @@ def test_peeling_recovers_digests(spark):
     assert row.d is None and row.n == 400
 
 
+def test_fingerprints_of_one_long_paragraph(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(600))) for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = P.op9_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == 4 and all(r.near_edited > 0.15 and r.near_next == 0 for r in got)  # half is kept
+
+
 def test_fingerprints_of_little(spark, tmp_path):
     one = spark.createDataFrame([(5, "Only one. Here.")], "doc_id long, text string")
     one.write.parquet(str(tmp_path / "one" / "documents.parquet"))
