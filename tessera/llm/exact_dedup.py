@@ -90,10 +90,16 @@ def block_names(df: DataFrame, text: Column, keep: dict[str, Column], *, block_b
         level, depth = scratch.write(_named(pairs, ["a", "b"])), depth + 1
 
 
-def duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256 and the row's number."""
+def duplicates(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256 and the row's number.
+
+    ``row_col`` holds distinct numbers of rows; without it they are made here, and say nothing to
+    another job that reads the same input."""
     text = normalised(text_of(df, text_col))
-    keep = {"doc_id": df[id_col], "row_no": F.monotonically_increasing_id(), "text_sha256": F.lower(F.sha2(text, 256))}
+    row_no = F.monotonically_increasing_id() if row_col is None else df[row_col]
+    keep = {"doc_id": df[id_col], "row_no": row_no, "text_sha256": F.lower(F.sha2(text, 256))}
     named = block_names(df, text, keep, block_bytes=block_bytes)
     groups = named.groupBy("level", "identity").agg(
         F.count("*").alias("group_size"),

@@ -80,9 +80,9 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def features(df: DataFrame, ident: Column, text: Column, n: int = N) -> DataFrame:
+def features(df: DataFrame, row: Column, ident: Column, text: Column, n: int = N) -> DataFrame:
     """row, doc_id, key (128 bits of the words), size, mins and the set's hashes of every row."""
-    slim = df.select(F.monotonically_increasing_id().alias("row"), ident.alias("doc_id"), text.alias("_text"))
+    slim = df.select(row.cast("long").alias("row"), ident.alias("doc_id"), text.alias("_text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,13 +289,20 @@ def verify(members: DataFrame, sets: DataFrame, scratch: Scratch, *, threshold:
 
 
 def similarity_join(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD
+    df: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    row_col: str | None = None,
+    n: int = N,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """doc_id, class_id, class_size, n_links, group_id, group_size, kept of every row, and its row number."""
+    """doc_id, class_id, class_size, n_links, group_id, group_size, kept of every row, and its row number
+    (from ``row_col``; numbers made here say nothing to another job that reads the same input)."""
     spark = df.sparkSession
     bounded_batches(spark)
     scratch, partitions = Scratch(spark, "join"), shuffle_partitions(spark)
-    every = scratch.write(features(df, df[id_col], text_of(df, text_col), n))
+    every = scratch.write(features(df, F.monotonically_increasing_id() if row_col is None else df[row_col], df[id_col], text_of(df, text_col), n))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = every.groupBy("key").agg(first.alias("first"), F.count("*").alias("class_size"))
     docs = join_back(every.select("row", "doc_id", "key"), classes, ["key"], "inner").select(
