@@ -18,12 +18,13 @@ broadcast. Ranks come from counters in the tasks that cut the documents plus off
 group, however common its length, meets in one place.
 
 Defined results: null texts are empty and have length 1 (the end token); repeated rows are packed
-each; an empty table gives no sequences.
+each; an empty table gives no sequences. Runs of white space and words may be of any length.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,10 +37,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._util import Scratch, bounded_batches, table, text_groups, text_of
-from .bpe import SPLIT, Vocabulary, default_vocabulary
+from .bpe import SPLIT, Vocabulary, codec, default_vocabulary
 
 SIZE = 2048
 END_ID = 0
+#: The encoder's pattern gives up on runs of white space of about a million characters; texts with runs
+#: of this length go to the trie encoder instead.
+LONG_BLANKS = re.compile(r"\s{100000}")
 
 _encodings: dict[str, tiktoken.Encoding] = {}
 
@@ -52,6 +56,14 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _encodings[path]
 
 
+def encode(text: str, path: str) -> np.ndarray:
+    """Ids of a text of any length, without the end."""
+    if len(text) >= 100_000 and LONG_BLANKS.search(text):
+        raw, _ = next(codec(path).encode_group([text]))
+        return np.frombuffer(raw, "<u4")
+    return encoding(path).encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` tokens: full ones but for the first."""
     first = n % size or size
@@ -170,8 +182,6 @@ def best_fit(counts: dict[int, int], size: int, plan: Plan) -> None:
                 add(room, first + full, n - full)
 
 
-
-
 def plan_packing(counts: dict[int, int], size: int = SIZE) -> Plan:
     plan = Plan()
     best_fit(reduce_by_dominance(counts, size, plan), size, plan)
@@ -190,12 +200,12 @@ def pieces_of(df: DataFrame, *, id_col: str, text_col: str, size: int, path: str
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoding(path), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in text_groups(batches, 1):
             rows, piece, start, length, crc, rank = ([] for _ in range(6))
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(enc.encode_to_numpy(text, allowed_special="all").astype("<u4"), np.uint32(END_ID))
+                ids = np.append(encode(text, path), np.uint32(END_ID))
                 for k, (s, n) in enumerate(cut(len(ids), size)):
                     rows.append(i)
                     piece.append(k)
