@@ -4,12 +4,20 @@ Every rule names a host and a path prefix. It fits its host and all its subdomai
 path starts with the rule's path. Of the rules that fit, the longest (host and path together) wins;
 of two equally long ones a block entry wins over an allow entry.
 
+A trie of at most ``TRIE_RULES`` rules is broadcast. Longer lists are cut into several tries; every URL
+goes past each of them, one after the other, and keeps the best rule so far, so the result is the same.
+
+Cost: a URL's segments are looked up while rules still follow, and within a segment only the lengths that
+rules' last parts have there; so the work on a URL is linear in its length, whatever the segments' length.
+
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule;
-a URL that no rule fits gets the filter's default verdict. Rows that repeat are judged each.
+a URL that no rule fits gets the filter's default verdict. Rows that repeat are judged each. Of rules of
+the same text and verdict one is kept; of equal texts with both verdicts the block entry wins.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import Scratch, table
 
 ALLOW, BLOCK = "allow", "block"
-#: A rule list is broadcast; longer lists than this belong in a join on the host instead.
-MAX_RULES = 2_000_000
+#: Rules in one broadcast trie (about half a kilobyte each).
+TRIE_RULES = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,9 +57,7 @@ class UrlTrie:
 
     def __init__(self, rules: Iterable[Rule]):
         self.root: dict = {}
-        for n, rule in enumerate(rules):
-            if n >= MAX_RULES:
-                raise ValueError(f"more than {MAX_RULES} rules")
+        for rule in rules:
             node = self.root
             for label in reversed(rule.host.split(".")):
                 node = node.setdefault("hosts", {}).setdefault(label, {})
@@ -61,11 +67,14 @@ class UrlTrie:
                 node = node.setdefault("next", {}).setdefault(segment, {})
             ends = node.setdefault("ends", {})
             held = ends.get(prefix)
+            sizes = node.setdefault("sizes", [])
+            if len(prefix) not in sizes:
+                bisect.insort(sizes, len(prefix))
             if held is None or rule.verdict == BLOCK:
                 ends[prefix] = (rule.text, rule.verdict)
 
     @staticmethod
-    def _better(best, found):
+    def better(best, found):
         if best is None or (len(found[0]), found[1] == BLOCK) > (len(best[0]), best[1] == BLOCK):
             return found
         return best
@@ -85,10 +94,12 @@ class UrlTrie:
                     break
                 ends = at.get("ends")
                 if ends:
-                    for size in range(len(segment) + 1):
+                    for size in at["sizes"]:
+                        if size > len(segment):
+                            break
                         found = ends.get(segment[:size])
                         if found:
-                            best = self._better(best, found)
+                            best = self.better(best, found)
                 # a whole segment of a rule ends with a slash, so the URL needs one more part
                 at = at.get("next", {}).get(segment) if k + 1 < len(segments) else None
         return best
@@ -111,22 +122,36 @@ def filter_urls(
     Only the kept columns and the URL are read; other columns, whatever their names, stay unread.
     """
     keep = list(keep)
-    trie = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))
-    slim = df.select(*[df[c] for c in keep], host_of(df[url]).alias("host"), path_of(df[url]).alias("path"))
+    rules, spark = list(rules), df.sparkSession
+    out = df.select(
+        *[df[c] for c in keep], host_of(df[url]).alias("host"), path_of(df[url]).alias("path"),
+        F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"),
+    )
+    scratch = Scratch(spark, "urls") if len(rules) > TRIE_RULES else None
+    for at in range(0, len(rules), TRIE_RULES):
+        if at:  # what a trie before has found is written, so no more than one is held at a time
+            out = scratch.write(out)
+        out = _past(out, spark.sparkContext.broadcast(UrlTrie(rules[at : at + TRIE_RULES])), len(keep))
+    return out
+
+
+def _past(urls: DataFrame, trie, n: int) -> DataFrame:
+    """The rows (n kept columns, host, path, rule, verdict) with the better of their rule and the trie's."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = trie.value.find
+        find, better = trie.value.find, trie.value.better
         for batch in batches:
-            hosts, paths = (batch.column(i).to_pylist() for i in (len(keep), len(keep) + 1))
-            found = [find(h, p) for h, p in zip(hosts, paths, strict=True)]
-            more = [
-                pa.array([x[0] if x else None for x in found], pa.string()),
-                pa.array([x[1] if x else default for x in found], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "rule", "verdict"])
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema.fields)
-    return slim.mapInArrow(judge, kept + "rule string, verdict string")
+            rules, verdicts = [], []
+            for host, path, rule, verdict in zip(*(batch.column(n + i).to_pylist() for i in range(4)), strict=True):
+                found = find(host, path)
+                if found and rule is not None:
+                    found = better((rule, verdict), found)
+                rules.append(found[0] if found else rule)
+                verdicts.append(found[1] if found else verdict)
+            more = [pa.array(rules, pa.string()), pa.array(verdicts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], *more], names=batch.schema.names)
+
+    return urls.mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields))
 
 
 #: The entries the contract of this query names.
