@@ -73,9 +73,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bounded_batches(spark: SparkSession, records: int = 4000, size: int = 16 << 20) -> None:
-    """Arrow batches of at most so many rows and bytes, so that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Arrow batches of at most so many rows and bytes, so that long texts don't pile up in a worker.
+
+    Spark reads these settings when a plan runs, which is after the operator has returned, so they stay
+    set in the session; tighter ones that are set already are left alone."""
+    for name, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(key).removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_groups(batches, column: int, size: int = 4 << 20):
@@ -99,13 +105,14 @@ def join_back(rows: DataFrame, found: DataFrame, keys: list[str], how: str) -> D
 
 
 def bounded_sample(df: DataFrame, key: Column, n: int, seed: int, total: int) -> DataFrame:
-    """At most n rows (with a column ``text``) in the order of a hash of the key.
+    """At most n rows (with a column ``text``) in the order of a hash of the key and the text.
 
     Rows whose hash is too high to be among the first are dropped where they are read, so that a few
     times n rows are all that meets in one task, however many partitions there are. ``total``: rows of
-    the whole table, which files say without being read.
+    the whole table, which files say without being read. Texts under one key have hashes of their own,
+    so a key that all rows share (or none has) takes neither all of them nor none.
     """
-    order = F.xxhash64(key.cast("string"), F.lit(seed))
+    order = F.xxhash64(key.cast("string"), F.col("text"), F.lit(seed))
     if total > 8 * n:
         df = df.where(order <= F.lit(int(-(2**63) + 2**64 * (4 * n / total))))
     return df.orderBy(order, "text").limit(n)

@@ -8,7 +8,7 @@ correlated voters share their weight. A given label is one more voter of limited
 labels are outvoted. A linear classifier is then trained on the posterior labels and scores every text.
 
 Learning reads a bounded sample of labelled rows (``SAMPLE_ROWS``, in the order of a hash of the id; a
-row over ``SAMPLE_CHARS`` characters is not drawn). Scoring reads the whole text of every row; labels,
+row without a document, or with one over ``SAMPLE_CHARS`` characters, is not drawn and takes no place). Scoring reads the whole text of every row; labels,
 language, source and id are never inputs of a score. The model (a few hundred numbers) is broadcast.
 
 Defined results: null texts are empty; an empty text fires no voter and gets the score of a text
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -279,24 +280,31 @@ def train(texts: list[bytes], toxic: np.ndarray) -> ToxicityModel:
     return ToxicityModel(lexicon, fit_linear(np.stack([features(t, lexicon) for t in texts]), post), model)
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """At most SAMPLE_ROWS labelled rows of the training folds: text, toxic."""
+def training_sample(documents: DataFrame, labels: DataFrame, *, id_col: str, text_col: str) -> pd.DataFrame:
+    """At most SAMPLE_ROWS labelled rows of the training folds (text, toxic): the first, by a hash of the
+    id, whose document exists and is short enough.
+
+    Hashes are bounded, so that a few times as many labels as are wanted are looked up; where too few of
+    these have a document, the bound is raised.
+    """
     order = F.xxhash64(F.col("key"), F.lit(17))
-    marked = (
-        labels.select(labels["doc_id"].cast("string").alias("key"), labels["toxic"].cast("double").alias("toxic"))
-        .where("key is not null and toxic is not null")
-        .where(crc_mod5(F.col("key")) != 0)
-        .groupBy("key")
-        .agg(F.avg("toxic").alias("toxic"))
-        .orderBy(order, "key")
-        .limit(SAMPLE_ROWS)
-    )
     text = text_of(documents, text_col)
     docs = documents.select(documents[id_col].cast("string").alias("key"), text.alias("text")).where(
         F.char_length("text") <= SAMPLE_CHARS
     )
-    # the marked rows are SAMPLE_ROWS at most, so they may be broadcast
-    return docs.join(F.broadcast(marked), "key").orderBy(order, "key", "text").limit(SAMPLE_ROWS).select("text", "toxic")
+    known = labels.select(labels["doc_id"].cast("string").alias("key"), labels["toxic"].cast("double").alias("toxic"))
+    known = known.where("key is not null and toxic is not null").where(crc_mod5(F.col("key")) != 0)
+    total = labels.count()
+    share = 1.0 if total <= 8 * SAMPLE_ROWS else 4 * SAMPLE_ROWS / total
+    while True:
+        marked = known if share >= 1 else known.where(order <= F.lit(int(-(2**63) + 2**64 * share)))
+        marked = marked.groupBy("key").agg(F.avg("toxic").alias("toxic"))
+        # by the hash that many labels at most, about; where more are asked, the join is left to the engine
+        few = F.broadcast(marked) if share * total <= 64 * SAMPLE_ROWS else marked
+        rows = docs.join(few, "key").orderBy(order, "key", "text").limit(SAMPLE_ROWS).select("text", "toxic").toPandas()
+        if len(rows) >= SAMPLE_ROWS or share >= 1:
+            return rows
+        share = min(1.0, 8 * share)
 
 
 def score_toxicity(
@@ -305,7 +313,7 @@ def score_toxicity(
     """doc_id, the kept columns, held_out, score and predicted for every row of ``documents``."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    rows = training_sample(documents, labels, id_col=id_col, text_col=text_col).toPandas()
+    rows = training_sample(documents, labels, id_col=id_col, text_col=text_col)
     model = spark.sparkContext.broadcast(train([t.encode() for t in rows["text"]], rows["toxic"].to_numpy()))
     slim = documents.select(
         documents[id_col].alias("doc_id"),
