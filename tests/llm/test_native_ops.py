@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import re
 from collections import defaultdict
 
@@ -159,6 +160,25 @@ def test_trie_against_all_rules():
             assert trie.find(h, p) == ((best.text, best.verdict) if best else None), (h, p)
 
 
+def test_long_segments_take_no_longer():
+    trie = U.UrlTrie([*U.RULES, U.Rule("block", "example.org", "/x/yy")])
+    began = time.perf_counter()
+    assert trie.find("example.org", "/en/" + "1" * 1_000_000) == ("example.org/en/1", "block")
+    assert trie.find("example.org", "/" + "x" * 1_000_000) == ("org/", "allow")
+    assert trie.find("a." * 1000 + "org", "/x" * 500_000) == ("org/", "allow")
+    assert time.perf_counter() - began < 0.5
+
+
+def test_many_rules_take_several_tries(spark, monkeypatch):
+    urls = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in ("a.org", "b.a.org", "c.com") for p in ("/", "/p/1", "/q/", "/p"))]
+    rules = [U.Rule("allow", "org", "/"), U.Rule("block", "a.org", "/p"), U.Rule("allow", "b.a.org", "/p/"), U.Rule("block", "c.com", "/q"), U.Rule("allow", "a.org", "/p")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    want = sorted(map(tuple, U.filter_urls(df, rules, keep=["page_id"]).collect()))
+    monkeypatch.setattr(U, "TRIE_RULES", 2)
+    assert sorted(map(tuple, U.filter_urls(df, rules, keep=["page_id"]).collect())) == want
+    assert {r[3] for r in want} == {None, "org/", "a.org/p", "b.a.org/p/", "c.com/q"}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
 def test_registered_sql(spark):
     import glob

@@ -145,6 +145,13 @@ def test_packing_of_edges(edge_docs, edge_rows, no_docs, library):
     assert K.pack(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 1_200_000, " \t\n" * 400_000, "\u3000 " * 100_000])
+def test_long_white_space(library, run):
+    text = "a word" + run + "next ones"
+    ids = K.encode(text, B.default_vocabulary())
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 # ------------------------------------------------------------ toxicity
 
 
@@ -177,6 +184,46 @@ def test_toxicity_of_edges(edge_docs, edge_rows, no_docs, labels):
     assert T.score_toxicity(edge_docs, labels.where("false")).count() == len(edge_rows)
 
 
+def test_labels_without_documents_take_no_place(spark, monkeypatch):
+    monkeypatch.setattr(T, "SAMPLE_ROWS", 50)
+    docs = spark.range(20_000, 20_300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    marks = spark.range(20_300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    rows = T.training_sample(docs, marks, id_col="doc_id", text_col="text")
+    fit = [r.doc_id for r in docs.where(T.crc_mod5(F.col("doc_id")) != 0).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))).limit(50).collect()]
+    assert sorted(rows["text"]) == sorted(f"text {i}" for i in fit)
+    assert all(int(t.split()[1]) % 2 == y for t, y in zip(rows["text"], rows["toxic"], strict=True))
+
+
+def test_posterior_against_loops():
+    """The last round of expectation maximisation, one row and voter at a time."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(300) < 0.3
+    fired = np.stack([np.where(truth, rng.random(300) < p, rng.random(300) < q) for p, q in ((0.8, 0.1), (0.7, 0.05), (0.6, 0.2), (0.9, 0.04))], 1)
+    fired = np.hstack([fired[:, :1], fired])  # the first voter twice: these two are correlated
+    start = np.where(fired[:, -1], 0.9, 0.05)
+    before = T.LabelModel().fit(fired, start, rounds=6)
+    model = T.LabelModel()
+    got = model.fit(fired, start, rounds=7)
+    n, k = fired.shape
+    n1, rates = before.sum(), np.zeros((2, k))
+    for v in range(k):
+        rates[1, v] = (sum(p for p, f in zip(before, fired[:, v], strict=True) if f) + 0.1) / (n1 + 1)
+        rates[0, v] = (sum(1 - p for p, f in zip(before, fired[:, v], strict=True) if f) + 0.1) / (n - n1 + 1)
+    rates[:, -1] = np.clip(rates[:, -1], T.LABEL_ERROR, 1 - T.LABEL_ERROR)
+    left = [[fired[i, v] - before[i] * rates[1, v] - (1 - before[i]) * rates[0, v] for v in range(k)] for i in range(n)]
+    weight = []
+    for v in range(k):
+        others = [abs(np.corrcoef([r[v] for r in left], [r[u] for r in left])[0, 1]) for u in range(k) if u != v]
+        weight.append(1 / (1 + sum(c for c in others if c > T.CORRELATED)))
+    weight[-1] = 1.0
+    assert weight[0] == pytest.approx(weight[1]) and weight[0] < 0.55
+    for i in range(n):
+        odds = np.log(before.mean() / (1 - before.mean()))
+        for v in range(k):
+            odds += weight[v] * np.log(rates[1, v] / rates[0, v] if fired[i, v] else (1 - rates[1, v]) / (1 - rates[0, v]))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-4)
+
+
 def test_label_model_outvotes_wrong_labels():
     rng = np.random.default_rng(1)
     truth = rng.random(800) < 0.3
@@ -479,6 +526,29 @@ def test_components_against_union(spark):
 # ------------------------------------------------------------ pipeline
 
 
+@pytest.mark.parametrize("stage", ["exact_dedup", "jaccard_join"])
+def test_pipeline_rows_keep_their_numbers(spark, tmp_path, stage):
+    """Other splits of the files between two scans, as when executors come or go."""
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30), f"r{i}") for i in range(160)]
+    rows += [(1000 + i, rows[i][1], f"r{1000 + i}") for i in range(0, 160, 2)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(16).write.parquet(f"{tmp_path}/docs")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "4")
+        got = dict(C.STAGES)[stage](spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+        spark.conf.set("spark.sql.files.minPartitionNum", "16")
+        assert got.columns == ["doc_id", "text", "_row"]
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] < 1000)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as C
 
