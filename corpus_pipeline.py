@@ -10,7 +10,11 @@ the last returns the packed pieces. Each works on all its predecessor kept:
 * pii replaces personal data in the texts by its kind, and brings n_chars in line,
 * packing cuts the documents into pieces and packs these into sequences.
 
-Null texts count as empty in every stage; empty tables pass through.
+Defined results, in every stage: null texts count as empty and null ids are ids like any other; empty
+tables pass through; long texts are taken whole. Repeated rows and rows that share an id are rows each:
+toxicity and pii treat them alike, packing packs each, exact_dedup keeps one of equal texts and
+jaccard_join one of a group (of equal ids the row that was read first). Columns besides doc_id and text
+pass through untouched whatever their names, n_chars excepted, which pii brings in line.
 """
 
 from __future__ import annotations
@@ -26,17 +30,20 @@ from tessera.llm.pii import find_pii
 from tessera.llm.toxicity import score_toxicity
 
 
-def _written(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows are numbered by their place in files, so anything but a plain table is written first."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-        return docs
-    return Scratch(spark, "stage").write(docs)
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """row and doc (the whole row as a struct, in which no name can clash), written: a number that was
+    made anew in a later job could be another row's, as splits follow the executors at hand."""
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    return Scratch(spark, "stage").write(docs.select(F.monotonically_increasing_id().alias("row"), whole))
 
 
-def _keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose numbers are in ``kept`` (column _row)."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+def _keep_rows(numbered: DataFrame, kept: DataFrame) -> DataFrame:
+    """The whole rows whose numbers are in ``kept``."""
+    return numbered.join(kept.select("row"), "row", "left_semi").select("doc.*")
+
+
+def _texts(numbered: DataFrame) -> DataFrame:
+    return numbered.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
 
 
 def _with_whole(docs: DataFrame) -> DataFrame:
@@ -50,13 +57,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _written(spark, docs)
-    return _keep_rows(docs, duplicates(docs).where("kept").select(F.col("row_no").alias("_row")))
+    numbered = _numbered(spark, docs)
+    found = duplicates(_texts(numbered), row_col="row")
+    return _keep_rows(numbered, found.where("kept").select(F.col("row_no").alias("row")))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _written(spark, docs)
-    return _keep_rows(docs, similarity_join(docs).where("kept").select(F.col("row").alias("_row")))
+    numbered = _numbered(spark, docs)
+    return _keep_rows(numbered, similarity_join(_texts(numbered), row_col="row").where("kept"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
