@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..order import Desc, OrderBy, Ranges, order_terms, window, with_index
+from ..order import Desc, OrderBy, Ranges, window, with_index
 from .deferred import Context, Deferred, as_column, row_number
 from .exprs import ieee_div
 
@@ -138,7 +138,7 @@ def filled(value: str | Column, direction: str = DOWN) -> Deferred:
 
         def whole(df: DataFrame, name: str) -> DataFrame:
             r = Ranges(df, x.order_by)
-            terms = order_terms(df, x.order_by)
+            terms = r.terms
             if all(up or _is_number(df, k) for k, up in terms):
                 seen = F.when(col.isNotNull(), F.struct(*[_orderable(k, up) for k, up in terms]))
                 edge = F.max_by(col, seen) if down else F.min_by(col, seen)

@@ -1,9 +1,11 @@
 """Row order. Frames have none of their own, so verbs that need one are told the columns to order by.
 
 Without grouping keys a plain window would move every row to one task. Here the rows are cut into
-ranges of the first order key instead (the bounds come from a bounded sample, so they are fixed when
-the plan is built, and a range number depends on a row's value alone); a window works inside each
-range, and one small row for each range carries over what came before it.
+ranges of all order keys together (the bounds come from a bounded sample, so they are fixed when the
+plan is built, and a range number depends on a row's values alone); a window works inside each range,
+and one small row for each range carries over what came before it. Rows that tie in every key are told
+apart by a hash of the whole row where they are many, so that a coarse order has ranges too; only rows
+that are equal throughout share one.
 """
 
 from __future__ import annotations
@@ -12,14 +14,28 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    BooleanType,
+    DataType,
+    DateType,
+    DayTimeIntervalType,
+    MapType,
+    NumericType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from .errors import OrderRequiredError
 from .names import ROW_ID, c, check_known, fresh
 
-#: Values of the first order key that bounds are chosen from.
-SAMPLE = 4096
+#: Rows that bounds are chosen from, at least, and for each range.
+SAMPLE, PER_RANGE = 4096, 20
 
-_QUANTILES = ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz")
+#: Types that a bound can be a literal of; keys from the first other one on don't cut ranges.
+_CUTTING = (StringType, BinaryType, BooleanType, DateType, TimestampType, TimestampNTZType, NumericType, DayTimeIntervalType)
 
 OrderBy = Iterable["str | Column"] | str | Column | None
 
@@ -69,43 +85,89 @@ def window(df: DataFrame, by: Iterable[str], order_by: OrderBy, *, back: bool =
     return Window.partitionBy(*[c(k) for k in by]).orderBy(*terms)
 
 
-def _bounds(keys: DataFrame, n: int) -> list:
-    """Fewer than n values of column k that cut it into parts of about equal size.
+def _sorted_sample(keys: DataFrame, ups: list[bool], rows: int) -> list[tuple]:
+    """About so many rows at most, in order. Counting them first is a job of its own."""
+    total = keys.count()
+    if total > rows:
+        keys = keys.where(F.rand(17) < rows / total)
+    order = [F.col(k).asc_nulls_last() if up else F.col(k).desc_nulls_last() for k, up in zip(keys.columns, ups, strict=True)]
+    # the sample is bounded, so one task sorts it
+    return [tuple(r) for r in keys.repartition(1).sortWithinPartitions(*order).collect()]
 
-    Numbers, dates and times: approximate quantiles, which tasks sum up map-side. Other types: a sample
-    by hash; the bound on the hash is applied where rows are read, so a few times SAMPLE values meet.
-    """
-    if n < 2:
-        return []
-    if keys.schema["k"].dataType.typeName() in _QUANTILES:
-        found = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"]
-        return sorted(set(found or []))
-    total, order = keys.count(), F.xxhash64("k")
-    if total > 8 * SAMPLE:
-        keys = keys.where(order <= F.lit(int(-(2**63) + 2**64 * (4 * SAMPLE / total))))
-    rows = keys.orderBy(order).limit(SAMPLE).distinct().orderBy("k").collect()
-    values = [r["k"] for r in rows]
-    step = max(1, len(values) // n)
-    return values[step::step][: n - 1]
+
+def _same(a: tuple, b: tuple) -> bool:
+    return repr(a) == repr(b)  # values that aren't numbers are equal to themselves
+
+
+def _row_hash(df: DataFrame) -> Column:
+    def hashes(kind: DataType) -> bool:
+        inner = [f.dataType for f in getattr(kind, "fields", [])] + [getattr(kind, "elementType", None)]
+        return not isinstance(kind, MapType) and kind.typeName() != "variant" and all(hashes(k) for k in inner if k is not None)
+
+    return F.xxhash64(F.lit(5), *[c(f.name) for f in df.schema.fields if hashes(f.dataType)])
+
+
+def _position(keys: list[tuple[Column, bool]], bounds: list[tuple], kinds: list[DataType]) -> Column:
+    """How many of the sorted bounds a row is at or past: a binary search in literal arrays, so neither
+    the expression nor the work on a row grows with their number (but by its logarithm)."""
+    if not bounds:
+        return F.lit(0)
+    n = len(bounds)
+    held = [F.array(*[F.lit(b[i]) for b in bounds]).cast(ArrayType(kind)) for i, kind in enumerate(kinds)]
+
+    def reached(at: Column) -> Column:
+        out = F.lit(True)
+        for (key, up), values in reversed(list(zip(keys, held, strict=True))):
+            bound = F.get(values, at)
+            past = (key.isNull() & bound.isNotNull()) | F.coalesce(key > bound if up else key < bound, F.lit(False))
+            out = past | (key.eqNullSafe(bound) & out)
+        return out
+
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda at, step: F.when((at + step <= n) & reached(at + step - 1), at + step).otherwise(at),
+    )
 
 
 class Ranges:
-    """A frame cut into ranges of its first order key. Building it runs one small job."""
+    """A frame cut into ranges of its order keys. Building it runs two small jobs, or three."""
 
     def __init__(self, df: DataFrame, order_by: OrderBy):
         self.name = fresh(df, "__range")
-        self.order_by = order_by
-        (key, up), *_ = order_terms(df, order_by)
-        spark = df.sparkSession
-        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        bounds = [F.lit(v) for v in _bounds(df.select(key.alias("k")).where("k is not null"), n)]
-        below = sum(((key > b).cast("int") for b in bounds), F.lit(0))
-        number = below if up else F.lit(len(bounds)) - sum(((key >= b).cast("int") for b in bounds), F.lit(0))
-        self.last = len(bounds) + 1
-        self.df = df.withColumn(self.name, F.when(key.isNull(), F.lit(self.last)).otherwise(number))
+        self.terms = order_terms(df, order_by)
+        n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = max(SAMPLE, PER_RANGE * n)
+        keys, kinds, found = self._keys(df), [], []
+        if n > 1 and keys:
+            sample = lambda: _sorted_sample(df.select(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)]), [up for _, up in keys], rows)
+            found = sample()
+            most = len(found) // n + 1  # rows of a range; more ties than that don't fit in one
+            if len(keys) == len(self.terms) and any(_same(a, b) for a, b in zip(found, found[most:], strict=False)):
+                self.terms.append((_row_hash(df), True))
+                keys = self._keys(df)
+                found = sample()
+            kinds = [f.dataType for f in df.select(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)]).schema.fields]
+        cuts = [found[len(found) * i // n] for i in range(1, n)] if found else []
+        bounds = [b for i, b in enumerate(cuts) if not i or not _same(b, cuts[i - 1])]
+        self.df = df.withColumn(self.name, _position(keys, bounds, kinds))
+
+    def _keys(self, df: DataFrame) -> list[tuple[Column, bool]]:
+        """The keys that cut, each in a form whose literals compare as the key does."""
+        out = []
+        for (key, up), f in zip(self.terms, df.select(*[k.alias("k") for k, _ in self.terms]).schema.fields, strict=True):
+            if not isinstance(f.dataType, _CUTTING):
+                break
+            out.append((F.unix_micros(key) if isinstance(f.dataType, TimestampType) else key, up))
+        return out
 
     def window(self, *, back: bool = False) -> WindowSpec:
-        return window(self.df, [self.name], self.order_by, back=back)
+        terms = [
+            (k.desc_nulls_first() if up else k.asc_nulls_first()) if back else (k.asc_nulls_last() if up else k.desc_nulls_last())
+            for k, up in self.terms
+        ]
+        return Window.partitionBy(c(self.name)).orderBy(*terms)
 
     def carried(self, per_range: dict[str, Column], over: dict[str, Column]) -> DataFrame:
         """The frame with columns that sum up all ranges before a row's own. ``per_range`` are aggregates
