@@ -20,6 +20,8 @@ from pyspark.sql.types import (
     NumericType,
     ShortType,
     StringType,
+    StructField,
+    StructType,
 )
 
 from ..errors import InvalidColumnOperationError
@@ -77,9 +79,7 @@ def add_row(df: DataFrame, row: Sequence[Any]) -> DataFrame:
     """One row by position."""
     if len(row) != len(df.columns):
         raise ValueError(f"{len(row)} values for {len(df.columns)} columns")
-    schema = df.schema
-    for f in schema.fields:
-        f.nullable = True
+    schema = StructType([StructField(f.name, f.dataType) for f in df.schema.fields])
     return df.union(df.sparkSession.createDataFrame([tuple(row)], schema))
 
 

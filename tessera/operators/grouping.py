@@ -171,9 +171,3 @@ def salted_summarize(t: Grouped, salt: int, partial: dict[str, Column], final: d
     first = t.df.withColumn(name, F.pmod(F.xxhash64(F.struct(*[c(n) for n in t.df.columns])), F.lit(salt)))
     step = first.groupBy(*by, F.col(name)).agg(*[v.alias(n) for n, v in partial.items()])
     return step.groupBy(*by).agg(*[fn(c(n)).alias(n) for n, fn in final.items()])
-
-
-def group_share(t: Grouped, name: str = "share") -> Grouped:
-    """Each row's share of its group's rows."""
-    w = Window.partitionBy(*[c(k) for k in t.by])
-    return t.with_df(t.df.withColumn(name, F.lit(1.0) / F.count("*").over(w)))

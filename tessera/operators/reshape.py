@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,8 +121,19 @@ def nest(t: Table, what=None, name: str = "data", order_by: OrderBy = None) -> D
     if order_by is None:
         rows = F.collect_list(row)
     else:
-        by = F.struct(*[F.struct(k.isNull(), k if up else -k) for k, up in order_terms(df, order_by)])
-        rows = F.transform(F.array_sort(F.collect_list(F.struct(by.alias("o"), row.alias("r")))), lambda x: x["r"])
+        terms = order_terms(df, order_by)
+        held = F.collect_list(F.struct(*[k.alias(f"k{i}") for i, (k, _) in enumerate(terms)], row.alias("r")))
+
+        def earlier(a: Column, b: Column) -> Column:
+            """-1, 0 or 1, of keys of any type, nulls last."""
+            out = F.lit(0)
+            for i, (_, up) in reversed(list(enumerate(terms))):
+                x, y = a[f"k{i}"], b[f"k{i}"]
+                by_value = F.when((x < y) if up else (x > y), F.lit(-1)).when((x > y) if up else (x < y), F.lit(1)).otherwise(out)
+                out = F.when(x.isNull(), F.when(y.isNull(), out).otherwise(F.lit(1))).when(y.isNull(), F.lit(-1)).otherwise(by_value)
+            return out
+
+        rows = F.transform(F.array_sort(held, earlier), lambda x: x["r"])
     return df.groupBy(*[c(n) for n in outside]).agg(rows.alias(name)) if outside else df.agg(rows.alias(name))
 
 
@@ -144,19 +156,18 @@ def unnest(t: Table, name: str) -> DataFrame:
 def expand(t: Table, *columns: str) -> DataFrame:
     """All combinations of the columns' distinct values, sorted. The result is their cross product by
     definition; each side is a distinct list."""
-    df = ungroup(t)
+    return _combinations(ungroup(t), columns).orderBy(*[c(n).asc_nulls_last() for n in columns])
+
+
+def _combinations(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     check_known(df, columns)
-    sides = [df.select(c(n)).distinct() for n in columns]
-    out = sides[0]
-    for s in sides[1:]:
-        out = out.crossJoin(s)
-    return out.orderBy(*[c(n).asc_nulls_last() for n in columns])
+    return reduce(DataFrame.crossJoin, [df.select(c(n)).distinct() for n in columns])
 
 
 def complete(t: Table, *columns: str) -> DataFrame:
     """The frame with a row for every combination of the columns' values."""
     df = ungroup(t)
-    return left_join(expand(df, *columns), df, list(columns))
+    return left_join(_combinations(df, columns), df, list(columns))
 
 
 def unfold(
@@ -191,7 +202,3 @@ def flatten(t: Table) -> DataFrame:
             return df
         name, taken = records[0].name, set(df.columns)
         df = unfold(df, name, keep=False, add_prefix=any(n in taken - {name} for n in records[0].dataType.names))
-
-
-def fields_of(col: Column, names: Iterable[str]) -> list[Column]:
-    return [col.getField(n).alias(n) for n in names]

@@ -4,45 +4,48 @@ samples for type guesses come to the driver."""
 from __future__ import annotations
 
 import csv
-import gzip
 import io
-import os
-import tempfile
-import urllib.request
-import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..names import ROW_ID, c, numbered_duplicates
+from .storage import put, readable, shared_path
 from .typeguess import GUESS, ColumnTypes, apply_types
 
 NA = "NA"
-_URL = ("http://", "https://", "ftp://")
 
 
-def is_url(path: str) -> bool:
-    return path.lower().startswith(_URL)
-
-
-def _local_copy(path: str) -> str:
-    """A URL's content in a temporary file of the driver; for small tables, as any download."""
-    with urllib.request.urlopen(path, timeout=60) as r:  # noqa: S310
-        data = r.read()
-    return _temp(data, os.path.splitext(path)[1])
-
-
-def _temp(data: bytes, suffix: str = "") -> str:
-    fd, name = tempfile.mkstemp(suffix=suffix)
-    with os.fdopen(fd, "wb") as f:
-        f.write(data)
-    return name
-
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines in order; the path may be anything Spark reads, compressed or not."""
-    return spark.read.text(path).withColumn(ROW_ID, F.monotonically_increasing_id())
+def _lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """Lines in order, without the first ``skip`` of every file; the path may be anything Spark reads,
+    compressed or not. Leaving lines out takes a pass through Python in Arrow batches, and no exchange:
+    a file's first lines are those that begin at its first byte."""
+    lines = spark.read.text(path)
+    if skip:
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, seen = None, 0
+            for batch in batches:
+                files, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                at = 0
+                while at < len(files):
+                    here = (files[at], starts[at])
+                    to = at + 1
+                    while to < len(files) and (files[to], starts[to]) == here:
+                        to += 1
+                    if here != now:
+                        now, seen = here, 0
+                    gone = max(0, min(to - at, skip - seen)) if here[1] == 0 else 0
+                    seen += to - at
+                    if at + gone < to:
+                        yield batch.slice(at + gone, to - at - gone).select(["value"])
+                    at = to
+
+        lines = lines.mapInArrow(run, "value string")
+    return lines.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
 def read_delim(
@@ -60,14 +63,13 @@ def read_delim(
     multiline: bool = False,
     row_id: bool = False,
 ) -> DataFrame:
-    """A delimited file. Without a header columns are X1, X2, ...; ``skip`` lines go first.
+    """A delimited file, or files of equal headers. Without a header columns are X1, X2, ...; ``skip``
+    lines of each file go first.
 
     Guessing types reads the file; give ``types`` to avoid that. ``row_id`` keeps the rows' order in a
     column that the order-dependent verbs use.
     """
-    if is_url(path):
-        path = _local_copy(path)
-    path = _unzipped(path)
+    path = readable(spark, path)
     names = None if header is True or header is False else list(header)
     options = {"sep": sep, "quote": quote, "nullValue": na, "emptyValue": "", "escape": quote}
     options |= {"ignoreLeadingWhiteSpace": trim, "ignoreTrailingWhiteSpace": trim, "multiLine": multiline}
@@ -79,9 +81,9 @@ def read_delim(
     schema = ", ".join(f"_c{i} string" for i in range(len(names)))
     if skip:
         # lines before the header: the rest is parsed as it would be from a file
-        lines = _lines(spark, path).where(F.col(ROW_ID) >= skip + (header is True))
+        lines = _lines(spark, path, skip + (header is True))
         parsed = lines.select(ROW_ID, F.from_csv("value", schema, {k: str(v) for k, v in options.items() if k != "multiLine"}).alias("r"))
-        df = parsed.where("value is not null" if "value" in parsed.columns else "r is not null").select(*[f"r._c{i}" for i in range(len(names))], ROW_ID)
+        df = parsed.where("r is not null").select(*[f"r._c{i}" for i in range(len(names))], ROW_ID)
     else:
         df = spark.read.schema(schema).options(header=header is True, **options).csv(path).withColumn(ROW_ID, F.monotonically_increasing_id())
     df = df.toDF(*names, ROW_ID)
@@ -98,28 +100,10 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, stream: io.IOBase | bytes, sep: str = ",", **options) -> DataFrame:
-    """An open binary stream (plain, gzip or zip by its first bytes), or a text stream."""
-    data = stream if isinstance(stream, bytes) else stream.read()
-    data = data.encode() if isinstance(data, str) else data
-    return read_delim(spark, _temp(_plain(data)), sep, **options)
-
-
-def _plain(data: bytes) -> bytes:
-    if data[:2] == b"\x1f\x8b":
-        return gzip.decompress(data)
-    if data[:4] == b"PK\x03\x04":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            return z.read(z.namelist()[0])
-    return data
-
-
-def _unzipped(path: str) -> str:
-    """A local .zip is unpacked by what its first bytes say; everything else Spark reads itself."""
-    local = path.removeprefix("file://")
-    if path.endswith(".zip") and os.path.isfile(local):
-        with open(local, "rb") as f:
-            return _temp(_plain(f.read()))
-    return path
+    """An open binary stream (plain, gzip or zip by its first bytes), or a text stream. Its content goes
+    to the shared folder, where executors read it."""
+    path = put(spark, stream, shared_path(spark, "stream.zip"))  # unpacked by what its first bytes say
+    return read_delim(spark, path, sep, **options)
 
 
 def write_delim(df: DataFrame, path: str, sep: str = ",", *, header: bool = True, na: str = "", single_file: bool = False, mode: str = "errorifexists") -> None:
@@ -152,7 +136,7 @@ def read_fixed_width(
     """Columns of fixed width, trimmed. Unnamed ones are X0, X1, ... by place."""
     columns = list(columns)
     names = numbered_duplicates([n if n is not None else f"X{i}" for i, (n, _) in enumerate(columns)])
-    lines, at, cells = _lines(spark, path).where(F.col(ROW_ID) >= skip), 1, []
+    lines, at, cells = _lines(spark, readable(spark, path), skip), 1, []
     for name, (_, width) in zip(names, columns, strict=True):
         cell = F.trim(F.substring("value", at, width))
         cells.append(F.when(~cell.isin(na, ""), cell).alias(name))

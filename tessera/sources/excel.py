@@ -7,7 +7,6 @@ workbook's rows are parsed in one task, as its parts can't be split.
 from __future__ import annotations
 
 import io
-import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..names import ROW_ID, numbered_duplicates
+from .storage import exists, put
 from .typeguess import GUESS, ColumnTypes, apply_types
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -221,9 +221,9 @@ def _sheet_xml(df: DataFrame, headers: bool, bold: bool) -> bytes:
     return out.getvalue().encode()
 
 
-def _known_sheets(path: str) -> dict[str, bytes]:
+def _known_sheets(book_: bytes) -> dict[str, bytes]:
     out = {}
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(io.BytesIO(book_)) as z:
         book = ET.fromstring(z.read("xl/workbook.xml"))
         for s in book.findall(f"{_NS}sheets/{_NS}sheet"):
             out[s.get("name")] = z.read(_sheet_path(z, s.get("name")))
@@ -231,12 +231,16 @@ def _known_sheets(path: str) -> dict[str, bytes]:
 
 
 def write_excel(df: DataFrame, path: str, sheet: str = "Sheet1", *, headers: bool = True, erase_file: bool = False, bold_headers: bool = True) -> None:
-    """A sheet of a local workbook; other sheets that are there stay unless the file is erased. Sheets
+    """A sheet of a workbook in any store that Spark knows. The sheet is one file, made on the driver; other sheets that are there stay unless the file is erased. Sheets
     that are carried along keep inline texts only, as this module writes them. Missing values are
     missing cells."""
-    sheets = {} if erase_file or not os.path.exists(path) else _known_sheets(path)
+    spark = df.sparkSession
+    sheets = {}
+    if not erase_file and exists(spark, path):
+        sheets = _known_sheets(bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]))
     sheets[sheet] = _sheet_xml(df, headers, bold_headers)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", _TYPES.format(sheets="".join(_SHEET_TYPE.format(n=i + 1) for i in range(len(sheets)))))
         z.writestr("_rels/.rels", _ROOT)
         listed = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, n in enumerate(sheets))
@@ -248,3 +252,4 @@ def write_excel(df: DataFrame, path: str, sheet: str = "Sheet1", *, headers: boo
         z.writestr("xl/styles.xml", _STYLES)
         for i, xml in enumerate(sheets.values()):
             z.writestr(f"xl/worksheets/sheet{i + 1}.xml", xml)
+    put(spark, out.getvalue(), path)

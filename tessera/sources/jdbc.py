@@ -3,13 +3,14 @@ column with bounds, reads it in parallel."""
 
 from __future__ import annotations
 
+import decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DecimalType
 
 from ..names import c
-from .builders import value_type  # noqa: F401  types of cursors without a description
+from .builders import from_columns
 
 
 def read_jdbc(
@@ -38,11 +39,7 @@ def plain_numbers(df: DataFrame) -> DataFrame:
 
 def from_cursor(spark: SparkSession, cursor) -> DataFrame:
     """What a DB-API cursor still has to give, missing values as such. A literal, built on the driver."""
-    from .builders import from_columns
-
     names = [d[0] for d in cursor.description]
     rows = cursor.fetchall()
-    import decimal
-
     plain = lambda v: float(v) if isinstance(v, decimal.Decimal) else v
     return from_columns(spark, {n: [plain(r[i]) for r in rows] for i, n in enumerate(names)})

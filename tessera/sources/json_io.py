@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..names import c
 from .builders import from_records
-from .delim import _local_copy, is_url
+from .storage import beginning, readable
 
 ID = "_id"
 
@@ -19,28 +19,31 @@ ID = "_id"
 def read_json(spark: SparkSession, path: str, *, multiline: bool = True, schema: StructType | str | None = None) -> DataFrame:
     """A file with an array of objects (or, with ``multiline`` off, an object on each line). Columns come
     in the order of the first object. Give a schema to avoid the pass that infers one."""
-    if is_url(path):
-        path = _local_copy(path)
+    path = readable(spark, path)
     reader = spark.read.option("multiLine", multiline)
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     if schema is not None:
         return df
-    head = spark.read.option("wholetext", multiline).text(path).limit(1).collect() if not multiline else []
-    names = list(json.loads(head[0]["value"])) if head else _first_names(spark, path)
+    names = _first_names(spark, df)
     order = [n for n in names if n in df.columns]
     return df.select(*[c(n) for n in [*order, *(n for n in df.columns if n not in order)]])
 
 
-def _first_names(spark: SparkSession, path: str) -> list[str]:
-    """Keys of the first object of the file, read from its beginning only."""
-    text, decoder = "", json.JSONDecoder()
-    for row in spark.read.text(path).limit(2000).collect():
-        text += row["value"] + "\n"
-    at = text.find("{")
-    try:
-        return list(decoder.raw_decode(text[at:])[0]) if at >= 0 else []
-    except ValueError:
-        return []
+def _first_names(spark: SparkSession, df: DataFrame) -> list[str]:
+    """Keys of the first object of the first file, of which the beginning is read, more while the object
+    goes on."""
+    files, size, decoder = sorted(df.inputFiles()), 1 << 16, json.JSONDecoder()
+    while files:
+        raw = beginning(spark, files[0], size)
+        text = raw.decode("utf-8", "ignore")
+        at = text.find("{")
+        try:
+            return list(decoder.raw_decode(text[at:])[0]) if at >= 0 else []
+        except ValueError:
+            if len(raw) < size:
+                return []
+            size *= 8
+    return []
 
 
 def _tolerant(text: str) -> Any:

@@ -1,6 +1,6 @@
 """Column types of text data: given, or guessed from the first values.
 
-A guess looks at ``GUESS`` values that aren't missing: boolean (T, F, TRUE, FALSE in any case), int,
+A guess looks at the first ``GUESS`` values that aren't missing: boolean (T, F, TRUE, FALSE in any case), int,
 long, double, else text. A later value that doesn't fit an integer guess makes the column text; one
 that doesn't fit a double is an error when read. Blank cells of numeric columns are missing.
 """
@@ -58,7 +58,7 @@ def _fits(col: Column, kind: str) -> Column:
     if kind == "boolean":
         return text.rlike(_BOOL)
     if kind == "int":
-        return text.rlike(_INT) & F.expr("true") & text.try_cast("int").isNotNull()
+        return text.rlike(_INT) & text.try_cast("int").isNotNull()
     if kind == "long":
         return text.rlike(_INT) & text.try_cast("bigint").isNotNull()
     if kind == "double":
@@ -82,27 +82,33 @@ def typed(col: Column, kind: str) -> Column:
 
 
 def guess_types(df: DataFrame, names: Iterable[str], guess: int = GUESS) -> dict[str, str]:
-    """Guesses for text columns: one job for the sample, one that holds integer guesses against all rows."""
+    """Guesses for text columns, all from the first ``10 * guess`` rows: one job reads these, and one
+    aggregate over all rows holds integer guesses against every value. That aggregate also judges, by
+    all its values, a column of which the first rows have fewer than ``guess``."""
     names = list(names)
     if not names:
         return {}
-    # any rows will do where there is no row number; with one, the first
-    sample = {}
-    for n in names:
-        some = df.select(*([ROW_ID] if ROW_ID in df.columns else []), c(n).alias("v")).where(F.col("v").isNotNull() & (F.trim("v") != ""))
-        if ROW_ID in df.columns:
-            some = some.orderBy(ROW_ID)
-        some = some.limit(guess)
-        sample[n] = some.agg(F.count("*").alias("n"), *[F.coalesce(F.bool_and(_fits(F.col("v"), k)), F.lit(False)).alias(k) for k in TYPES[:-1]])
-    rows = {n: r.first() for n, r in sample.items()}
-    out = {n: next((k for k in TYPES[:-1] if r["n"] and r[k]), "string") for n, r in rows.items()}
-    whole = [n for n in names if out[n] in ("int", "long")]
-    if whole:
-        # an integer guess must hold everywhere, else the column is text
-        bad = df.agg(*[F.count_if((F.trim(c(n)) != "") & ~_fits(c(n), out[n])).alias(f"b{i}") for i, n in enumerate(whole)]).first()
-        for i, n in enumerate(whole):
-            if bad[f"b{i}"]:
-                out[n] = "string"
+    text = [c(n) for n in names]
+    present = [v.isNotNull() & (F.trim(v) != "") for v in text]
+    first = df.select(*text).toDF(*[f"v{i}" for i in range(len(names))]).limit(10 * guess)
+    # a limit is one partition, in the order of the files
+    some = first.agg(*[
+        F.slice(F.collect_list(F.when(F.trim(f"v{i}") != "", F.col(f"v{i}"))), 1, guess).alias(f"v{i}") for i in range(len(names))
+    ])
+    every = lambda v, k: F.forall(v, lambda x: _fits(x, k))
+    row = some.select(
+        *[F.size(f"v{i}").alias(f"n{i}") for i in range(len(names))],
+        *[every(F.col(f"v{i}"), k).alias(f"{k}{i}") for i in range(len(names)) for k in TYPES[:-1]],
+    ).first()
+    out = {n: next((k for k in TYPES[:-1] if row[f"n{i}"] and row[f"{k}{i}"]), "string") for i, n in enumerate(names)}
+    few = [i for i in range(len(names)) if row[f"n{i}"] < guess]
+    whole = [i for i, n in enumerate(names) if i not in few and out[n] in ("int", "long")]
+    checks = [F.count_if(present[i] & ~_fits(text[i], out[names[i]])).alias(f"b{i}") for i in whole]
+    checks += [F.bool_and(F.when(present[i], _fits(text[i], k))).alias(f"{k}{i}") for i in few for k in TYPES[:-1]]
+    if checks:
+        found = df.agg(*checks).first()
+        out |= {names[i]: "string" for i in whole if found[f"b{i}"]}
+        out |= {names[i]: next((k for k in TYPES[:-1] if found[f"{k}{i}"]), "string") for i in few}
     return out
 
 

@@ -222,3 +222,123 @@ def test_samples_access_and_timing(spark):
     assert ranked.df.count() == 3
     by = t.one_hot(iris, "Sepal.Length", categorize=lambda v: F.when(v > 5.8, "long").otherwise("short"))
     assert {"Sepal.Length[long]", "Sepal.Length[short]"} <= set(by.columns)
+
+
+# ------------------------------------------------------------ files in any store
+
+
+def test_skip_counts_lines_of_each_file(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("a note\nid,name\n" + "".join(f"{k}{i},n{i}\n" for i in range(400)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # several splits of a file
+        df = delim.read_csv(spark, str(tmp_path), skip=1, types="is")
+        assert df.columns == ["id", "name"]
+        assert rows(df) == sorted(((int(f"{k}{i}"), f"n{i}") for k in range(3) for i in range(400)), key=lambda r: tuple((False, str(x)) for x in r))
+        wide = delim.read_fixed_width(spark, str(tmp_path), [("a", 2), ("b", 90)], skip=2, types="ss")
+        assert wide.count() == 1200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_type_guesses_take_two_jobs(spark, tmp_path):
+    names = [f"c{i}" for i in range(30)]
+    line = lambda i: ",".join(str(i * k) if k % 3 else (f"{i}.5" if k % 2 else f"w{i}") for k in range(30))
+    (tmp_path / "w.csv").write_text(",".join(names) + "\n" + "\n".join(line(i) for i in range(300)) + "\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("guesses", "guesses")
+    df = delim.read_csv(spark, str(tmp_path / "w.csv"))
+    jobs = len(tracker.getJobIdsForGroup("guesses"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert [k for _, k in df.dtypes] == ["string" if k % 6 == 0 else "double" if k % 3 == 0 else "int" for k in range(30)]
+    assert jobs <= 7, jobs  # the header, the first rows, the aggregate; adaptive plans count their stages
+
+
+def test_sparse_columns_are_judged_by_all_values(spark, tmp_path):
+    cells = ["NA"] * 1500 + ["1", "2", "x"] + ["NA"] * 5
+    (tmp_path / "s.csv").write_text("n,s\n" + "\n".join(f"{i},{v}" for i, v in enumerate(cells)) + "\n")
+    df = delim.read_csv(spark, str(tmp_path / "s.csv"))
+    assert df.dtypes == [("n", "int"), ("s", "string")] and rows(df.where("s is not null").select("s")) == [("1",), ("2",), ("x",)]
+
+
+def test_json_names_of_long_objects(spark, tmp_path):
+    first = {f"z{99 - i}": "v" * 3000 for i in range(60)}
+    (tmp_path / "a.json").write_text(__import__("json").dumps([first, {"z0": "x"}]))
+    assert json_io.read_json(spark, str(tmp_path / "a.json")).columns == [*first, "z0"]
+    (tmp_path / "l.json").write_text('{"b": 1, "a": 2}\n{"b": 3, "a": 4}\n')
+    assert json_io.read_json(spark, str(tmp_path / "l.json"), multiline=False).columns == ["b", "a"]
+
+
+def test_nested_rows_in_descending_order(spark):
+    from tessera.order import desc
+
+    df = spark.createDataFrame([(1, "a", 1), (1, None, 2), (1, "c", 3), (1, "b", 4), (1, "b", 5)], "g int, t string, n int")
+    nested = R.nest(G.group_by(df, "g"), order_by=[desc("t"), "n"]).first()["data"]
+    assert [(r["t"], r["n"]) for r in nested] == [("c", 3), ("b", 4), ("b", 5), ("a", 1), (None, 2)]
+    dated = df.withColumn("d", F.expr("date_add(date'2024-01-01', n)"))
+    assert [r["n"] for r in R.nest(G.group_by(dated, "g"), order_by=[desc("d")]).first()["data"]] == [5, 4, 3, 2, 1]
+
+
+def test_added_row_leaves_the_frame_alone(spark):
+    from tessera.operators import bind as B
+
+    df = spark.range(3)
+    assert rows(B.add_row(df, [None])) == [(0,), (1,), (2,), (None,)]
+    assert df.schema["id"].nullable is False
+
+
+def test_complete_is_not_sorted(spark, people):
+    plan = R.complete(people, "year", "person")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" not in plan
+
+
+def test_archives_streams_and_urls(spark, tmp_path):
+    import http.server
+    import threading
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("inner.csv", "a,b\n1,x\n")
+    assert rows(delim.read_csv(spark, str(tmp_path / "z.zip"))) == [(1, "x")]
+    assert rows(delim.read_stream(spark, (tmp_path / "z.zip").read_bytes())) == [(1, "x")]
+    assert rows(delim.read_stream(spark, io.StringIO("a;b\n2;y\n"), ";")) == [(2, "y")]
+    assert rows(delim.read_stream(spark, b"a\n3\n")) == [(3,)]
+    (tmp_path / "u.csv").write_text("a,b\n4,z\n")
+    handler = lambda *a: http.server.SimpleHTTPRequestHandler(*a, directory=str(tmp_path))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert rows(delim.read_csv(spark, f"http://127.0.0.1:{server.server_port}/u.csv?x=1")) == [(4, "z")]
+        assert rows(delim.read_csv(spark, f"http://127.0.0.1:{server.server_port}/z.zip")) == [(1, "x")]
+    finally:
+        server.shutdown()
+
+
+def test_arrow_files_are_read_by_executors(spark, tmp_path):
+    import pyarrow as pa
+
+    for k in range(3):
+        table = pa.table({"a": pa.array([k, None], pa.int8()), "b": [f"x{k}", "y"], "c": pa.array([1.5, None], pa.float32())})
+        with pa.OSFile(str(tmp_path / f"{k}.arrow"), "wb") as f, (pa.ipc.new_file if k else pa.ipc.new_stream)(f, table.schema) as w:
+            w.write_table(table)
+            w.write_table(table)
+    got = arrow_io.read_arrow(spark, str(tmp_path))
+    assert got.dtypes == [("a", "int"), ("b", "string"), ("c", "double")] and got.count() == 12 and got.rdd.getNumPartitions() >= 1
+    assert got.where("a = 2").count() == 2
+    arrow_io.write_arrow(got, str(tmp_path / "out" / "one.arrow"))
+    assert rows(arrow_io.read_arrow(spark, str(tmp_path / "out" / "one.arrow"))) == rows(got)
+
+
+def test_database(spark, tmp_path):
+    """Derby comes with Spark."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    src = spark.range(100).select(F.col("id").alias("ID"), F.concat(F.lit("n"), "id").alias("NAME"), (F.col("id") / 4).cast("decimal(9,2)").alias("PRICE"))
+    src.write.format("jdbc").options(url=url, driver=driver, dbtable="CARS").save()
+    got = jdbc.read_jdbc(spark, url, "CARS", driver=driver, partition=("ID", 0, 100, 4))
+    assert dict(got.dtypes)["PRICE"] == "double" and got.rdd.getNumPartitions() == 4
+    assert rows(got.select("ID", "NAME", "PRICE")) == rows(src.select("ID", "NAME", F.col("PRICE").cast("double")))
+    some = jdbc.read_jdbc(spark, url, "SELECT ID, NAME FROM CARS WHERE ID < 10", driver=driver).where("ID > 5")
+    assert sorted(r["ID"] for r in some.collect()) == [6, 7, 8, 9]
+    assert "PushedFilters: [*IsNotNull(ID), *GreaterThan(ID,5)]" in some._jdf.queryExecution().executedPlan().toString()
