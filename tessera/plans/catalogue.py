@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -20,49 +18,8 @@ from ..operators import joins as J
 from ..operators import reshape as R
 from ..operators import verbs as V
 from ..order import desc
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    """The tables of a folder, by name."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-
-    @property
-    def holes(self) -> DataFrame:
-        """Events with missing values: every seventh value and every eleventh user."""
-        e = self.events
-        return e.select(
-            "event_id",
-            F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("user_id"),
-            "event_type",
-            F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"),
-        )
-
-
-_HOLES = """(SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN user_id END AS user_id, event_type,
-  CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"""
-_W = "(PARTITION BY user_id ORDER BY event_id)"
-
-
-def query(sql: str | None):
-    """Registers a function of the tables under its own name, with its SQL."""
-
-    def register(fn: Callable[[Tables], DataFrame]):
-        name = fn.__name__.removeprefix("q_")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
-
+from ..sources.storage import shared_path
+from .tables import _HOLES, _W, ORACLES, QUERIES, Tables, query
 
 # ------------------------------------------------------------ flagship
 
@@ -369,13 +326,8 @@ def q_sort_mixed_topk(t):
     return sorted_.limit(25)
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY abs(o_totalprice - 150000), o_orderkey LIMIT 20")
-def q_sort_expression(t):
-    return V.select(V.sorted_by(t.orders, F.abs(c("o_totalprice") - 150000), "o_orderkey").limit(20), "o_orderkey")
-
-
 @query("SELECT CAST(row_number() OVER (ORDER BY abs(o_totalprice - 150000), o_orderkey) AS BIGINT) AS row_number, o_orderkey FROM orders")
-def q_sort_expression_all(t):
+def q_sort_expression(t):
     numbered = V.add_row_number(V.select(t.orders, "o_orderkey", "o_totalprice"), order_by=[F.abs(c("o_totalprice") - 150000), "o_orderkey"])
     return V.select(numbered, "row_number", "o_orderkey")
 
@@ -411,15 +363,9 @@ def q_right_join(t):
     return J.right_join(_orders(t), _customers(t), "key")
 
 
-@query("""WITH a AS (SELECT * FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT * FROM orders WHERE o_custkey % 2 = 0)
-SELECT coalesce(c_custkey, o_custkey) AS key, c_mktsegment, o_orderkey, o_totalprice FROM a FULL JOIN b ON o_custkey = c_custkey""")
-def q_outer_join(t):
-    return J.outer_join(_customers(t).where("key % 3 = 0"), _orders(t).where("key % 2 = 0"))
-
-
 @query("""WITH b AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN o_custkey ELSE -o_custkey END AS o_custkey, o_orderkey, o_totalprice FROM orders)
 SELECT coalesce(c_custkey, o_custkey) AS key, c_mktsegment, o_orderkey, o_totalprice FROM customer FULL JOIN b ON o_custkey = c_custkey""")
-def q_outer_join_all(t):
+def q_outer_join(t):
     # odd keys of orders are negated: rows without a match on both sides, and none is dropped
     moved = _orders(t).withColumn("key", F.expr("CASE WHEN key % 2 = 0 THEN key ELSE -key END"))
     return J.outer_join(_customers(t), moved)
@@ -448,16 +394,9 @@ def q_join_suffixes(t):
     return J.inner_join(t.nation, t.nation, "n_regionkey", suffixes=("_l", "_r"))
 
 
-@query(f"""SELECT a.user_id, a.event_id AS "event_id.x", b.event_id AS "event_id.y"
-FROM {_HOLES} a JOIN {_HOLES} b ON a.user_id IS NOT DISTINCT FROM b.user_id WHERE a.event_id < 300 AND b.event_id < 300""")
-def q_join_null_keys(t):
-    h = V.select(t.holes, "user_id", "event_id").where("event_id < 300")
-    return J.inner_join(h, h, "user_id")
-
-
 @query(f"""SELECT a.user_id, a.event_id, b.n, b.first_event FROM {_HOLES} a
-JOIN (SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM {_HOLES} GROUP BY 1) b ON a.user_id IS NOT DISTINCT FROM b.user_id""")
-def q_join_null_keys_all(t):
+JOIN (SELECT user_id, count(*) AS n, CAST(min(event_id) AS DOUBLE) AS first_event FROM {_HOLES} GROUP BY 1) b ON a.user_id IS NOT DISTINCT FROM b.user_id""")
+def q_join_null_keys(t):
     h = V.select(t.holes, "user_id", "event_id")
     return J.inner_join(h, G.summarize(G.group_by(h, "user_id"), n=A.n(), first_event=A.minimum("event_id")), "user_id")
 
@@ -812,17 +751,10 @@ def q_bind_cols_positional(t):
 # ------------------------------------------------------------ shapes
 
 
-@query("""SELECT user_id, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS click, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS view
-FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
-def q_spread(t):
-    counts = G.count(t.events.where("event_type in ('click', 'view')"), "user_id", "event_type")
-    return R.spread(counts, "event_type", "n", keys_=["click", "view"], fill=0)
-
-
 @query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error,
 count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'signup') AS signup,
 count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1""")
-def q_spread_all(t):
+def q_spread(t):
     kinds = ["click", "error", "purchase", "signup", "view"]
     return R.spread(G.count(t.events, "user_id", "event_type"), "event_type", "n", keys_=kinds, fill=0)
 
@@ -869,13 +801,8 @@ def q_nest_unnest_roundtrip(t):
     return R.unnest(R.nest(G.group_by(t.nation, "n_regionkey"), order_by="n_nationkey"), "data")
 
 
-@query("SELECT vec_id, unnest(embedding) AS embedding FROM embeddings WHERE vec_id < 50")
-def q_unnest_list(t):
-    return R.unnest(V.select(t.embeddings, "vec_id", "embedding").where("vec_id < 50"), "embedding")
-
-
 @query("SELECT vec_id, unnest(embedding) AS embedding FROM embeddings")
-def q_unnest_list_all(t):
+def q_unnest_list(t):
     return R.unnest(V.select(t.embeddings, "vec_id", "embedding"), "embedding")
 
 
@@ -884,15 +811,9 @@ def q_expand(t):
     return R.expand(t.orders, "o_orderstatus", "o_orderpriority")
 
 
-@query("""WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id < 40 GROUP BY 1, 2)
-SELECT u.user_id, e.event_type, s.n FROM (SELECT DISTINCT user_id FROM s) u CROSS JOIN (SELECT DISTINCT event_type FROM s) e LEFT JOIN s USING (user_id, event_type)""")
-def q_complete(t):
-    return R.complete(G.count(t.events.where("user_id < 40"), "user_id", "event_type"), "user_id", "event_type")
-
-
 @query("""WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT u.user_id, e.event_type, s.n FROM (SELECT DISTINCT user_id FROM s) u CROSS JOIN (SELECT DISTINCT event_type FROM s) e LEFT JOIN s USING (user_id, event_type)""")
-def q_complete_all(t):
+def q_complete(t):
     return R.complete(G.count(t.events, "user_id", "event_type"), "user_id", "event_type")
 
 
@@ -911,12 +832,7 @@ def q_flatten(t):
 
 
 def _folder(t, name: str) -> str:
-    """A new folder: the shared one of the cluster, or a temporary one in tests."""
-    import tempfile
-    import uuid
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    return shared_path(t.spark, name)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -963,21 +879,20 @@ def q_json_roundtrip(t):
 
 @query("SELECT r_regionkey, r_name FROM region")
 def q_arrow_roundtrip(t):
-    from ..sources.arrow_io import arrow_bytes, read_arrow
+    from ..sources.arrow_io import read_arrow, write_arrow
 
-    return read_arrow(t.spark, arrow_bytes(t.region))
+    path = _folder(t, "region.arrow")
+    write_arrow(t.region, path)
+    return read_arrow(t.spark, path)
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def q_excel_roundtrip(t):
-    import os
-    import tempfile
-
     from ..sources.excel import read_excel, write_excel
 
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "book.xlsx")
+    path = _folder(t, "book.xlsx")
     write_excel(t.nation, path, "nations")
-    return read_excel(t.spark, f"file://{path}", "nations")
+    return read_excel(t.spark, path, "nations")
 
 
 @query("SELECT * FROM (VALUES ('Nissan', 'Altima', 4), ('Nissan', 'Micra', 2), ('Ford', 'Ka', 3)) v(cars, model, doors)")
@@ -1013,3 +928,6 @@ def q_summarize_windows(t):
     from ..streaming import summarize_windows
 
     return V.select(summarize_windows(t.events, "ts", "1 day", "event_type", n=A.n()), "event_type", "window_start", "n")
+
+
+from . import driver_side  # noqa: E402, F401  registers its queries
