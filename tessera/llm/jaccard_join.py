@@ -12,11 +12,15 @@ found with probability ``RECALL`` (fewer splits, or a higher similarity, make it
 that is still large after ``DEPTH`` tokens holds sets that are alike, and is kept whole.
 
 Brute force: in a leaf all pairs are compared by sketches of ``SIGNATURE`` min-hashes, with a margin
-that loses one pair at the threshold in ten thousand; those that may be similar connect. Each connected component is then verified
-exactly, every pair once, with every set sent once: small components many to a task, large ones in
-blocks of bounded size, each pair of blocks in a task of its own. A verified block returns how many
-links each set has and a spanning forest of them, not pairs; so neither rows nor memory grow with the
-square of a group. There is no cap on members, partners or candidates.
+that loses one pair at the threshold in ten thousand; those that may be similar connect. Each connected
+component is then verified on its whole sets (32-bit hashes of the runs), every pair once: components of
+up to ``SMALL`` sets in one task each, with every set sent once; larger ones in ``BLOCKS`` blocks, or as
+many as blocks of ``BLOCK_SETS`` sets and ``BLOCK_HASHES`` hashes need, each pair of blocks in a task of
+its own, with every set sent once for each block. So up to ``BLOCKS * BLOCK_SETS`` members the rows sent
+grow in proportion to the members; beyond, a set is sent once for each ``BLOCK_SETS`` members, which is
+what a task's bounded memory asks for, as every pair has to meet somewhere to be counted. A verified
+block returns how many links each set has and a spanning forest of them, never pairs. There is no cap on
+members, partners or candidates.
 
 Result, one row per document: class_id (least doc_id of its class), class_size, n_links (other classes
 that are similar to its own), group_id (least doc_id among documents connected by links or class),
@@ -42,8 +46,8 @@ from .components import connected_components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 SIGNATURE, LEAF, DEPTH = 64, 128, 4
-#: Sets and hashes of a block that is verified at once.
-BLOCK_SETS, BLOCK_HASHES = 512, 4 << 20
+#: Members of a component that one task verifies; blocks of a larger one; sets and hashes of a block at most.
+SMALL, BLOCKS, BLOCK_SETS, BLOCK_HASHES = 512, 4, 4096, 4 << 20
 _ODD = np.random.default_rng(23).integers(0, 1 << 63, 64 + SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -199,7 +203,8 @@ def connect_leaves(leaves: DataFrame, sets: DataFrame, *, threshold: float, part
 
 
 def link_matrix(sets: list[np.ndarray], threshold: float, split: int | None = None) -> np.ndarray:
-    """Which sets are similar; with ``split`` only pairs across that position. The diagonal is empty."""
+    """Which sets are similar (the diagonal is empty); with ``split`` which of the sets before that position
+    are similar to which of the others."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owners = np.repeat(np.arange(n), sizes)
@@ -216,43 +221,54 @@ def link_matrix(sets: list[np.ndarray], threshold: float, split: int | None = No
         dense = np.zeros((n, width), np.float32)
         dense[owners[lo:hi], codes[lo:hi] - at] = 1
         both += dense[:cut] @ (dense if split is None else dense[cut:]).T
-    total = sizes[:cut, None] + sizes[None, :] if split is None else sizes[:cut, None] + sizes[None, cut:]
-    similar = both >= (threshold - 1e-9) * (total - both)
+    others, similar = sizes if split is None else sizes[cut:], np.zeros(both.shape, bool)
+    for at in range(0, cut, 256):  # in strips, as what a comparison makes is large
+        part = both[at : at + 256]
+        similar[at : at + 256] = part >= (threshold - 1e-9) * (sizes[:cut][at : at + 256, None] + others[None, :] - part)
     if split is None:
         np.fill_diagonal(similar, False)
-        return similar
-    out = np.zeros((n, n), bool)
-    out[:cut, cut:] = similar
-    out[cut:, :cut] = similar.T
-    return out
+    return similar
 
 
-def spread(links: np.ndarray) -> np.ndarray:
-    """The least position of each position's component."""
-    label = np.arange(len(links))
+def spread(links: np.ndarray, split: int | None = None) -> np.ndarray:
+    """The least position of each position's component, of the links that ``link_matrix`` gives."""
+
+    def least(rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+        parts = [np.where(rows[at : at + 256], label[None, :], none).min(1, initial=none) for at in range(0, len(rows), 256)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
+
+    none = sum(links.shape)
+    label = np.arange(len(links) if split is None else none)
     while True:
-        new = np.minimum(label, np.where(links, label[None, :], len(links)).min(1))
+        found = least(links, label) if split is None else np.concatenate([least(links, label[split:]), least(links.T, label[:split])])
+        new = np.minimum(label, found)
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
-def verify(members: DataFrame, sets: DataFrame, scratch: Scratch, *, threshold: float, partitions: int) -> DataFrame:
-    """(row, comp) to (u, v, n): n links of u where v is null, and forest edges (u, v)."""
+def deal(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, comp) to the rows that verification reads: task, comp, own block, whether that block is alone
+    in the task, row and hashes."""
     # both sides grow with the corpus, so neither is ever broadcast
     sized = scratch.write(sets.select("row", "size", "hashes").hint("merge").join(members, "row"))
-    count = sized.groupBy("comp").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_HASHES)).cast("int").alias("blocks")
-    )
+    n, hashes = F.count("*"), F.sum("size")
+    parts = F.greatest(F.lit(BLOCKS), F.ceil(n / BLOCK_SETS), F.ceil(hashes / BLOCK_HASHES))
+    parts = F.when((n <= SMALL) & (hashes <= BLOCK_HASHES), F.lit(1)).otherwise(parts)
+    count = sized.groupBy("comp").agg(parts.cast("int").alias("blocks"))
     dealt = join_back(sized, count, ["comp"], "inner").withColumn("own", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
     dealt = dealt.select("row", "comp", "hashes", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = (
-        dealt.select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
-                     "comp", "own", (F.col("own") == F.col("other")).alias("alone"), "row", "hashes")
-        .repartition(partitions, "task").sortWithinPartitions("task", "comp", "own", "row")
+    return dealt.select(
+        F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
+        "comp", "own", (F.col("own") == F.col("other")).alias("alone"), "row", "hashes",
     )
 
+
+def verify(members: DataFrame, sets: DataFrame, scratch: Scratch, *, threshold: float, partitions: int) -> DataFrame:
+    """(row, comp) to (u, v, n): n links of u where v is null, and forest edges (u, v)."""
+    dealt = deal(members, sets, scratch).repartition(partitions, "task").sortWithinPartitions("task", "comp", "own", "row")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -261,13 +277,10 @@ def verify(members: DataFrame, sets: DataFrame, scratch: Scratch, *, threshold:
             blocks = np.array([r[2] for r in held])
             # a task across two blocks has none of its sets alone; its links within a block are found elsewhere
             split = None if held[0][3] else int((blocks == blocks[0]).sum())
-            n = len(rows)
-            links = np.zeros((n, n), bool)
-            if split is None or split < n:
-                links = link_matrix([np.frombuffer(r[5], "<u4") for r in held], threshold, split)
-            some = links.sum(1)
-            label = spread(links)
-            a, b = np.flatnonzero(some), np.flatnonzero(label != np.arange(n))
+            links = link_matrix([np.frombuffer(r[5], "<u4") for r in held], threshold, split)
+            some = links.sum(1) if split is None else np.concatenate([links.sum(1), links.sum(0)])
+            label = spread(links, split)
+            a, b = np.flatnonzero(some), np.flatnonzero(label != np.arange(len(rows)))
             return pa.RecordBatch.from_pydict(
                 {
                     "u": pa.array(np.concatenate([rows[a], rows[b]]), pa.int64()),

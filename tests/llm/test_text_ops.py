@@ -483,6 +483,7 @@ def test_join_against_all_pairs(spark):
 def test_large_groups_are_split(spark, monkeypatch):
     """Buckets, leaves and blocks far smaller than a group of near copies."""
     monkeypatch.setattr(J, "BLOCK_SETS", 16)
+    monkeypatch.setattr(J, "SMALL", 20)
     rng = random.Random(12)
     words = prose(rng, 80).split()
     rows = []
@@ -492,12 +493,38 @@ def test_large_groups_are_split(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     scratch = Scratch(spark, "test")
-    every = scratch.write(J.features(docs, docs["doc_id"], docs["text"]))
+    every = scratch.write(J.features(docs, F.monotonically_increasing_id(), docs["doc_id"], docs["text"]))
     leaves, large = J.choose_paths(every.select("row", "mins"), scratch, threshold=0.8, leaf=8)
     assert large.count() > 0
     _compare(spark, rows, J.similarity_join(docs).collect())
 
 
+def test_rows_sent_grow_with_the_members(spark):
+    """Two groups of near copies, the second four times as large: four times the rows, and links as by all pairs."""
+    rng, rows = random.Random(5), []
+    for n in (2000, 8000):
+        words = prose(rng, 60).split()
+        for i in range(n):
+            own = list(words)
+            own[i % 60] = f"w{i // 60}x{n}"
+            rows.append((len(rows), " ".join(own)))
+    scratch = Scratch(spark, "test")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    every = scratch.write(J.features(docs, docs["doc_id"], docs["doc_id"], docs["text"]))
+    members = every.select("row", (F.col("row") >= 2000).cast("long").alias("comp"))
+    sent = {r["comp"]: (r["n"], r["most"]) for r in J.deal(members, every, scratch).groupBy("comp", "task").count()
+            .groupBy("comp").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()}
+    assert sent[0][0] == J.BLOCKS * 2000 and sent[1][0] == J.BLOCKS * 8000 and sent[1][1] <= 2 * J.BLOCK_SETS
+    found = J.verify(members, every, scratch, threshold=0.8, partitions=8).where("v is null").groupBy("u").agg(F.sum("n").alias("n"))
+    # 56 runs each: two texts that differ in one word share at least 46 of 66, in the same place 51 of 61
+    sets = [{tuple(t[k : k + 5]) for k in range(56)} for t in (r[1].split() for r in rows)]
+    picked = rng.sample(range(2000), 10) + rng.sample(range(2000, 10000), 10)
+    got = {r["u"]: r["n"] for r in found.where(F.col("u").isin(picked)).collect()}
+    for i in picked:
+        group = range(2000) if i < 2000 else range(2000, 10000)
+        assert got.get(i, 0) == sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 for j in group)
+
+
 def test_join_of_edges(edge_docs, edge_rows, no_docs):
     rows = J.similarity_join(edge_docs).collect()
     assert len(rows) == len(edge_rows)
