@@ -6,8 +6,8 @@ classes, found from its spelling. The output is factored into classes: the netwo
 class, then the state gives the word within a head class, while a word within a tail class follows its
 smoothed count in all training tokens (as in the base, all unseen words together are one type).
 
-Learning covers all training documents, of any length: the head are the most frequent words of all
-(equal counts: least word), the spelling classes come from the profiles of all tail words, the output
+Learning covers all training documents, of any length: the head are the most frequent words of all of them
+(by counts that lack one in ``SHARE * HEAD`` tokens at most; their counts in the model are exact), the spelling classes come from the profiles of all tail words, the output
 starts from counts of all tokens, and every partition takes gradient steps over all its training tokens.
 Partitions start from one network and their results are averaged, weighted by tokens; the average is the
 model. The network they start from is trained on the driver (truncated backpropagation through time in
@@ -20,10 +20,10 @@ Scoring reads whole documents. Documents are laid end to end in parallel streams
 window; the state is carried from window to window and is reset only where a document begins.
 
 Counts of tail words grow with the corpus, so they are never gathered in one place: a task sends, for
-each chunk of documents, the 64-bit hashes of its tail words to buckets as packed blobs, a bucket
-counts its words and answers every blob with counts in the order asked, and answers meet their chunk
-again. Frequent words never travel, so no bucket is hot; what a bucket holds is bounded by the number
-of buckets, which follows the number of tail tokens. (Two different tail words share a hash with
+each chunk of documents, the 64-bit hashes of its distinct tail words with their counts to buckets (ranges
+of hashes) as packed blobs, a bucket sums up and answers every blob in the order asked, and answers meet
+their chunk again. A word comes once from each chunk of ``CHUNK_BYTES``, however often it occurs, so what a
+bucket holds is bounded by the number of chunks and of buckets, which follows the number of tail tokens. (Two different tail words share a hash with
 probability below 1e-7 per billion of pairs; counts would then be added.) All intermediate tables lie
 in the shared folder.
 
@@ -36,11 +36,12 @@ from __future__ import annotations
 
 import copy
 import io
+import math
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,8 @@ TRAIN_TOKENS = 450_000
 EPOCHS = 2
 #: Words counted apart in a task before they are sent on; bytes of text, streams, steps and first rate of a partition's learning.
 COUNTED, LEARN_BYTES, LEARN_STREAMS, LEARN_STEPS, LEARN_RATE = 200_000, 4 << 20, 256, 24, 0.004
-#: Cells that counts of words are summed in, to tell which words can't be in the head.
-CELLS = 1 << 18
+#: A task sends words on that are as frequent there as one in SHARE * HEAD.
+SHARE = 32
 #: Words whose profiles describe a document, and the unit of a profile (whole numbers add up alike in any order).
 ANCHORS, UNIT = 96, 1 << 20
 #: Classes of head words, words in each, tail classes, size of the state.
@@ -80,6 +81,20 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+class Places:
+    """Words by the order in which they come, so that what is known of a word is looked up once."""
+
+    def __init__(self, words: list[bytes] | None = None):
+        self.at: dict[bytes, int] = {w: i for i, w in enumerate(words or ())}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        at = self.at
+        out = np.fromiter(map(at.get, words, repeat(-1)), np.int64, len(words))
+        for k in np.flatnonzero(out < 0).tolist():
+            out[k] = at.setdefault(words[k], len(at))
+        return out
+
+
 @dataclass
 class Vocab:
     """Head words by id (0 is the end) and the tail class of every other word."""
@@ -87,18 +102,40 @@ class Vocab:
     words: list[bytes]
     ends: dict[bytes, int]
 
-    def __post_init__(self):
-        self.id_of = {w: i for i, w in enumerate(self.words)}
-
     def tail(self, word: bytes) -> int:
         return self.ends.get(word.rstrip(_ENDS)[-2:], 0)
 
-    def coded(self, words: list[bytes]) -> np.ndarray:
-        """Ids of head words, HEAD + class of the others, and the end."""
-        ids = np.fromiter(map(self.id_of.get, words, repeat(-1)), np.int64, len(words))
-        odd = np.flatnonzero(ids < 0)
-        ids[odd] = [HEAD + self.tail(words[k]) for k in odd]
-        return np.append(ids, 0)
+
+class Coder:
+    """Ids of words: head words have their own, the others HEAD + their class. Words and the hashes of
+    tail words are kept up to a bound, which ``trim`` enforces between groups of texts."""
+
+    def __init__(self, vocab: Vocab):
+        self.vocab = vocab
+        self.trim(0)
+
+    def trim(self, most: int = 2 * COUNTED) -> None:
+        if not most or len(self.places.at) > most:
+            words = self.vocab.words
+            self.places, self.codes, self.hashes = Places(words), array("h", range(len(words))), array("Q", [0] * len(words))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Places of the words."""
+        return self.places.of(words)
+
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and hashes by place, of all words so far."""
+        for w in islice(self.places.at, len(self.codes), None):
+            self.codes.append(HEAD + self.vocab.tail(w))
+            self.hashes.append(word_hash(w))
+        return np.array(self.codes).astype(np.int64), np.array(self.hashes)
+
+    def coded(self, docs: list[list[bytes]]) -> list[np.ndarray]:
+        """Ids of every document's words, and the end."""
+        self.trim()
+        places = [self.of(words) for words in docs]
+        ids = self.known()[0]
+        return [np.append(ids[own], 0) for own in places]
 
 
 def _clusters(rows: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.ndarray:
@@ -183,8 +220,8 @@ class Network:
         a, g = self.p["X"][x], hp @ self.p["U"]
         gates = a[:, : 2 * s] + g[:, : 2 * s]
         np.negative(gates, out=gates)
-        np.minimum(gates, np.float32(80), out=gates)
-        np.exp(gates, out=gates)
+        with np.errstate(over="ignore"):  # one over infinity is none, as it should be
+            np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
         z, r, gn = gates[:, :s], gates[:, s:], g[:, 2 * s :]
@@ -192,41 +229,61 @@ class Network:
         return n + z * (hp - n), (hp, z, r, gn, n)
 
     @staticmethod
-    def _log_softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-        return logits
+    def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log P at the given column of each row, the exponentials of the logits and one over their sums.
+        The largest logit is subtracted only where the plain sum over- or underflows."""
+        rows = np.arange(len(at))
+        out = logits[rows, at]
+        with np.errstate(over="ignore", divide="ignore"):
+            e = np.exp(logits)
+            total = e @ np.ones(e.shape[1], e.dtype)
+            odd = np.flatnonzero(~((total > 1e-20) & (total < 1e30)))
+        if len(odd):
+            top = logits[odd].max(1)
+            e[odd] = np.exp(logits[odd] - top[:, None])
+            total[odd] = e[odd].sum(1)
+            out[odd] -= top
+        out -= np.log(total)
+        return out, e, 1 / total
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """log P(class) + log P(word in class) of each target; tail targets (>= HEAD) have no word part.
         With ``grads`` also the gradient of the summed negative logarithm."""
         cls = np.where(targets < HEAD, targets // CLASS_SIZE, targets - HEAD + HEAD_CLASSES)
-        logp = self._log_softmax(states @ self.p["W"] + self.p["b"])
-        rows = np.arange(len(targets))
-        out = logp[rows, cls]
-        d_states = None
+        order = np.argsort(cls.astype(np.uint8), kind="stable")  # rows of a class lie together from here on
+        cls, words, states = cls[order], targets[order] % CLASS_SIZE, states[order]
+        logits = states @ self.p["W"]
+        logits += self.p["b"]
+        found, e, scale = self._softmax(logits, cls)
+        d = None
         if grads is not None:
-            d = np.exp(logp)
-            d[rows, cls] -= 1
-            grads["W"] += states.T @ d
-            grads["b"] += d.sum(0)
-            d_states = d @ self.p["W"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
+            e *= scale[:, None]
+            e[np.arange(len(cls)), cls] -= 1
+            grads["W"] += states.T @ e
+            grads["b"] += e.sum(0)
+            d = e @ self.p["W"].T
+        edges = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
         for c in range(HEAD_CLASSES):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
+            at = slice(edges[c], edges[c + 1])
+            own, k = states[at], words[at]
+            if not len(k):
                 continue
-            own = states[at]
-            word = self._log_softmax(own @ self.p["V"][c] + self.p["v"][c])
-            k, i = targets[at] - c * CLASS_SIZE, np.arange(len(at))
-            out[at] += word[i, k]
+            logits = own @ self.p["V"][c]
+            logits += self.p["v"][c]
+            word, e, scale = self._softmax(logits, k)
+            found[at] += word
             if grads is not None:
-                d = np.exp(word)
-                d[i, k] -= 1
-                grads["V"][c] += own.T @ d
-                grads["v"][c] += d.sum(0)
-                d_states[at] += d @ self.p["V"][c].T
+                e *= scale[:, None]
+                e[np.arange(len(k)), k] -= 1
+                grads["V"][c] += own.T @ e
+                grads["v"][c] += e.sum(0)
+                d[at] += e @ self.p["V"][c].T
+        out = np.empty_like(found)
+        out[order] = found
+        if d is None:
+            return out, None
+        d_states = np.empty_like(d)
+        d_states[order] = d
         return out, d_states
 
     def window(self, x: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray):
@@ -240,17 +297,26 @@ class Network:
             kept.append(more)
         logp, d_states = self.outputs(np.concatenate(states), targets.ravel(), grads)
         d_states = d_states.reshape(steps, streams, s)
-        d_x, d_h = np.empty((steps, streams, 3 * s), "f4"), np.zeros((streams, s), "f4")
+        kind = d_states.dtype
+        d_x, d_h = np.empty((steps, streams, 3 * s), kind), np.zeros((streams, s), kind)
+        d_g = np.empty((steps, streams, 3 * s), kind)
+        back = np.ascontiguousarray(self.p["U"].T)
         for t in reversed(range(steps)):
             hp, z, r, gn, n = kept[t]
-            d_h = d_h + d_states[t]
-            d_an = d_h * (1 - z) * (1 - n * n)
-            d_z = d_h * (hp - n) * z * (1 - z)
-            d_r = d_an * gn * r * (1 - r)
-            d_g = np.hstack([d_z, d_r, d_an * r])
-            d_x[t] = np.hstack([d_z, d_r, d_an])
-            grads["U"] += hp.T @ d_g
-            d_h = (d_h * z + d_g @ self.p["U"].T) * keep[t][:, None]
+            d_h += d_states[t]
+            now, keep_z = d_x[t], 1 - z
+            d_an = now[:, 2 * s :]
+            np.multiply(d_h, keep_z, out=d_an)
+            np.multiply(d_h, (hp - n) * (z * keep_z), out=now[:, :s])
+            d_an *= 1 - n * n
+            np.multiply(d_an, gn * (r * (1 - r)), out=now[:, s : 2 * s])
+            d_g[t, :, : 2 * s] = now[:, : 2 * s]
+            np.multiply(d_an, r, out=d_g[t, :, 2 * s :])
+            d_h *= z
+            d_h += d_g[t] @ back
+            d_h *= keep[t][:, None]
+        before = np.stack([more[0] for more in kept]).reshape(-1, s)
+        grads["U"] += before.T @ d_g.reshape(-1, 3 * s)
         order = np.argsort(x.ravel(), kind="stable")
         used, first = np.unique(x.ravel()[order], return_index=True)
         grads["X"][used] = np.add.reduceat(d_x.reshape(-1, 3 * s)[order], first)
@@ -341,13 +407,15 @@ def sample_documents(docs: DataFrame, total: int, rows: int = SAMPLE_ROWS) -> li
 
 
 def _merged(parts: DataFrame, add) -> dict[str, np.ndarray]:
-    """Arrays of all tasks, (slot, blob) rows, put together 32 by 32; ``add`` takes a list of them in the order of slots."""
+    """Arrays of all tasks, (slot, blob) rows, put together 32 by 32 until 32 are left at most; ``add`` takes
+    a list of them in the order of slots."""
 
     def up(group: pa.Table) -> pa.Table:
         blobs = group.sort_by("was").column("blob").to_pylist()
         return pa.table({"slot": group.column("slot")[:1], "blob": pa.array([_stored(add([_loaded(b) for b in blobs]))], pa.binary())})
 
-    for _ in range(2):
+    rounds = max(1, math.ceil(math.log(max(parts.rdd.getNumPartitions(), 1), 32)) - 1)
+    for _ in range(rounds):
         parts = parts.select(F.shiftright("slot", 5).alias("slot"), F.col("slot").alias("was"), "blob").groupBy("slot").applyInArrow(up, _SLOTS)
     found = [_loaded(r["blob"]) for r in sorted(parts.collect(), key=lambda r: r["slot"])]
     return add(found) if found else {}
@@ -371,114 +439,101 @@ def _slot(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "blob": pa.array([_stored(arrays)], pa.binary())})
 
 
-def head_words(docs: DataFrame, likely: list[bytes]) -> dict[bytes, int]:
-    """The most frequent words of all training documents with their counts, most frequent first.
+def _end_code(word: bytes) -> int:
+    end = word.rstrip(_ENDS)[-2:]
+    return len(end) << 16 | int.from_bytes(end, "big")
 
-    A first reading sums all counts by a hash of the word, and counts the ``likely`` words. The least of
-    the HEAD - 1 highest counts of likely words is a count that every head word reaches, and so does the
-    sum it is part of; the second reading sends on only words whose sum does. ``likely`` has no influence
-    on the result.
-    """
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[Counter]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens_of(text.as_py()))
-                if len(counts) >= COUNTED:
-                    yield counts
-                    counts = Counter()
-        yield counts
-
-    def cell_of(counts: Counter) -> np.ndarray:
-        return np.fromiter(map(word_hash, counts), np.uint64, len(counts)) % np.uint64(CELLS)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, known = np.zeros(CELLS), np.zeros(len(likely), np.int64)
-        for counts in counted(batches):
-            n = np.fromiter(counts.values(), float, len(counts))
-            cells += np.bincount(cell_of(counts).astype(np.int64), weights=n, minlength=CELLS)
-            known += np.fromiter((counts[w] for w in likely), np.int64, len(likely))
-        yield _slot({"cells": cells, "known": known})
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for counts in counted(batches):
-            high = reach.value[cell_of(counts)]
-            some = [(w, n) for (w, n), x in zip(counts.items(), high.tolist(), strict=True) if x]
-            words = pa.table({"word": pa.array([w for w, _ in some], pa.binary()), "n": pa.array([n for _, n in some], pa.int64())})
-            yield from words.to_batches(max_chunksize=20_000)
+def head_words(docs: DataFrame) -> list[bytes]:
+    """Heavy hitters of all training documents, the HEAD - 1 most frequent words at most.
 
-    slim = docs.where("not held_out").select(F.col("text").cast("binary"))
-    first = _merged(slim.mapInArrow(sums, _SLOTS), lambda parts: {k: sum(p[k] for p in parts) for k in ("cells", "known")})
-    if not first:
-        return {}
-    least = np.sort(first["known"])[-(HEAD - 1)] if len(likely) >= HEAD - 1 else 1
-    reach = docs.sparkSession.sparkContext.broadcast(first["cells"] >= least)
-    found = slim.mapInArrow(sent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in found.orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()}
+    A task counts its words and sends those that make up a share of 1 / (SHARE * HEAD) or more of what it
+    has counted (in segments of COUNTED words apart); so a word's sum lacks at most that share of all
+    tokens. The words with the highest sums are the head (equal sums: least word). Small inputs are
+    counted to the last word, as every word is that frequent there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, counts = Places(), np.zeros(0, np.int64)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            often = np.flatnonzero(counts >= counts.sum() / (SHARE * HEAD))
+            names = list(places.at)
+            found = pa.table({"word": pa.array([names[i] for i in often.tolist()], pa.binary()), "n": pa.array(counts[often])})
+            yield from found.to_batches(max_chunksize=20_000)
+
+        for group in text_groups(batches, 0):
+            own = np.concatenate([places.of(tokens_of(t.as_py())) for t in group.column(0)])
+            more = np.bincount(own, minlength=len(places.at))
+            more[: len(counts)] += counts
+            counts = more
+            if len(places.at) >= COUNTED:
+                yield from sent()
+                places, counts = Places(), np.zeros(0, np.int64)
+        yield from sent()
 
-def _end_code(word: bytes) -> int:
-    end = word.rstrip(_ENDS)[-2:]
-    return len(end) << 16 | int.from_bytes(end, "big")
+    slim = docs.where("not held_out").select(F.col("text").cast("binary"))
+    found = slim.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()]
 
 
-def word_profiles(docs: DataFrame, head: list[bytes]) -> tuple[np.ndarray, dict, dict, int, int]:
-    """Over all training documents: the sum of profiles (shares of the most frequent words in a document)
-    of each head word; counts and sums of profiles of the other words by their ending; the number of
-    documents. Last the number of tail tokens of all documents."""
-    anchors, shared = min(ANCHORS, len(head)), docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head)})
+def word_profiles(docs: DataFrame, head: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict, dict, int, int]:
+    """Over all training documents: the counts of the head words and the sums of their profiles (shares of
+    the first ANCHORS head words in a document); counts and sums of profiles of the other words by their
+    ending; the number of documents. Last the number of tail tokens of all documents."""
+    anchors, shared = min(ANCHORS, len(head)), docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, size = shared.value, len(shared.value)
-        by_word, place = np.zeros((size, anchors)), np.full(3 << 16, -1, np.int64)
+        size = len(shared.value)
+        places, ends = Places(shared.value), array("q", [0] * size)
+        by_word, counts, place = np.zeros((size, anchors)), np.zeros(size, np.int64), np.full(3 << 16, -1, np.int64)
         codes, seen, by_end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, anchors))
         n_docs = n_tail = 0
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            profiles, ids, ends, owners, end_owners = [], [], [], [], []
+            if len(places.at) > size + COUNTED:
+                places, ends = Places(shared.value), array("q", [0] * size)
+            profiles, ids, owners = [], [], []
             for text, out in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = tokens_of(text.as_py())
-                own = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
-                odd = np.flatnonzero(own < 0)
-                n_tail += len(odd)
+                own = places.of(tokens_of(text.as_py()))
+                n_tail += int(np.count_nonzero(own >= size))
                 if out:
                     continue
-                own = own[own >= 0]
-                profile = np.bincount(own[own < anchors], minlength=anchors) / max(len(words), 1)
+                profile = np.bincount(own[own < anchors], minlength=anchors) / max(len(own), 1)
                 ids.append(own)
-                ends.append(np.fromiter((_end_code(words[k]) for k in odd), np.int64, len(odd)))
                 owners.append(np.full(len(own), len(profiles)))
-                end_owners.append(np.full(len(odd), len(profiles)))
                 profiles.append(np.rint(profile * UNIT))
             if not profiles:
                 continue
+            ends.extend(map(_end_code, islice(places.at, len(ends), None)))
             n_docs += len(profiles)
             profiles, rows = np.stack(profiles), len(profiles)
-            held = np.bincount(np.concatenate(owners) * size + np.concatenate(ids), minlength=rows * size).reshape(rows, size)
+            ids, owners = np.concatenate(ids), np.concatenate(owners)
+            inside = ids < size
+            held = np.bincount(owners[inside] * size + ids[inside], minlength=rows * size).reshape(rows, size)
+            counts += held.sum(0)
             by_word += held.T.astype(float) @ profiles
-            kinds, which = np.unique(np.concatenate(ends), return_inverse=True)
+            kinds, which = np.unique(np.array(ends)[ids[~inside]], return_inverse=True)
             fresh = kinds[place[kinds] < 0]
             place[fresh] = len(codes) + np.arange(len(fresh))
             codes, seen = np.append(codes, fresh), np.append(seen, np.zeros(len(fresh), np.int64))
             by_end = np.concatenate([by_end, np.zeros((len(fresh), anchors))])
-            held = np.bincount(np.concatenate(end_owners) * len(kinds) + which, minlength=rows * len(kinds)).reshape(rows, len(kinds))
+            held = np.bincount(owners[~inside] * len(kinds) + which, minlength=rows * len(kinds)).reshape(rows, len(kinds))
             seen[place[kinds]] += held.sum(0)
             by_end[place[kinds]] += held.T.astype(float) @ profiles
-        yield _slot({"by_word": by_word, "codes": codes, "seen": seen, "by_end": by_end, "n": np.array([n_docs, n_tail])})
+        yield _slot({"by_word": by_word, "counts": counts, "codes": codes, "seen": seen, "by_end": by_end, "n": np.array([n_docs, n_tail])})
 
     def add(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
         codes, which = np.unique(np.concatenate([p["codes"] for p in parts]), return_inverse=True)
         seen, by_end = np.zeros(len(codes), np.int64), np.zeros((len(codes), anchors))
         np.add.at(seen, which, np.concatenate([p["seen"] for p in parts]))
         np.add.at(by_end, which, np.concatenate([p["by_end"] for p in parts]))
-        return {"by_word": sum(p["by_word"] for p in parts), "codes": codes, "seen": seen, "by_end": by_end, "n": sum(p["n"] for p in parts)}
+        return {k: sum(p[k] for p in parts) for k in ("by_word", "counts", "n")} | {"codes": codes, "seen": seen, "by_end": by_end}
 
     found = _merged(docs.select(F.col("text").cast("binary"), "held_out").mapInArrow(run, _SLOTS), add)
     if not found:
-        return np.zeros((len(head), anchors)), {}, {}, 0, 0
+        return np.zeros(len(head), np.int64), np.zeros((len(head), anchors)), {}, {}, 0, 0
     names = [(c & 0xFFFF).to_bytes(c >> 16, "big") for c in found["codes"].tolist()]
     seen, by_end = dict(zip(names, found["seen"].tolist(), strict=True)), dict(zip(names, found["by_end"], strict=True))
-    return found["by_word"], seen, by_end, *found["n"].tolist()
+    return found["counts"], found["by_word"], seen, by_end, *found["n"].tolist()
 
 
 def learn_all(docs: DataFrame, vocab: Vocab, net: Network) -> int:
@@ -487,10 +542,10 @@ def learn_all(docs: DataFrame, vocab: Vocab, net: Network) -> int:
     start = docs.sparkSession.sparkContext.broadcast((vocab, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = start.value[0], copy.deepcopy(start.value[1])
+        coder, own = Coder(start.value[0]), copy.deepcopy(start.value[1])
         adam, tokens = Adam(own.p), 0
         for group in text_groups(batches, 0, LEARN_BYTES):
-            tokens += own.learn([words.coded(tokens_of(t.as_py())) for t in group.column(0)], adam)
+            tokens += own.learn(coder.coded([tokens_of(t.as_py()) for t in group.column(0)]), adam)
         if tokens:
             yield _slot({**own.p, "n": np.array([tokens])})
 
@@ -523,65 +578,62 @@ _ASKED = "chunk long, bucket int, payload binary"
 def _score_chunks(docs: DataFrame, model, buckets: int) -> DataFrame:
     """For every chunk one row with its documents (bucket -1) and one blob for each bucket it asks."""
 
-    def chunk(rows: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
-        vocab, net, counts = model.value
+    def chunk(coder: Coder, rows: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+        _, net, counts = model.value
         head_log = np.log10(counts + 0.5)
-        get, n_tail = vocab.id_of.get, TAILS
+        n_tail = TAILS
         batch = pa.Table.from_batches(rows)
         held = np.array(batch.column("held_out").to_pylist(), bool)
-        ids, hashes, owners, kinds, bounds = [], [], [], [], [0]
-        by_tail = np.zeros((len(held), n_tail), np.int32)
-        for i, text in enumerate(batch.column("text")):
-            words = tokens_of(text.as_py())
-            own = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words) + 0)
-            odd = np.flatnonzero(own < 0)
-            if len(odd):
-                spelt = [words[k] for k in odd]
-                kind = np.fromiter(map(vocab.tail, spelt), np.int32, len(odd))
-                own[odd] = HEAD + kind
-                hashes.append(np.fromiter(map(word_hash, spelt), np.uint64, len(odd)))
-                kinds.append(kind.astype(np.uint8))
-                owners.append(np.full(len(odd), i, np.int32))
-                by_tail[i] = np.bincount(kind, minlength=n_tail)
-            ids.append(np.append(own, np.int32(0)))
-            bounds.append(bounds[-1] + len(own) + 1)
-        flat, bounds = np.concatenate(ids), np.array(bounds)
-        del ids
+        coder.trim()
+        places = [coder.of(tokens_of(text.as_py())) for text in batch.column("text")]
+        ids, all_hashes = coder.known()
+        bounds = np.append(0, np.cumsum([len(p) + 1 for p in places]))
+        flat = np.zeros(bounds[-1], np.int32)  # the end is id 0
+        inside = np.ones(len(flat), bool)
+        inside[bounds[1:] - 1] = False
+        places = np.concatenate(places)
+        flat[inside] = ids[places]
+        odd = flat[inside] >= HEAD
+        owners = np.repeat(np.arange(len(held), dtype=np.int32), np.diff(bounds) - 1)[odd]
+        # each tail word of the chunk once, in the order of its hash, with its training count
+        spelt, places = np.unique(places[odd], return_inverse=True)
+        by_tail = np.bincount(owners * n_tail + (ids[spelt] - HEAD)[places], minlength=len(held) * n_tail).astype(np.int32)
+        order = np.argsort(all_hashes[spelt], kind="stable")
+        hashes, kinds = all_hashes[spelt][order], (ids[spelt][order] - HEAD).astype(np.uint8)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        places = rank[places]
+        trained = np.bincount(places, weights=~held[owners], minlength=len(order)).astype("<u8")
         logp = np.add.reduceat(net.score(flat, bounds).astype(float), bounds[:-1])
         base = np.add.reduceat(np.append(head_log, np.zeros(n_tail))[flat], bounds[:-1])
         known = np.add.reduceat(np.append(counts > 0, np.zeros(n_tail, bool)).astype(np.int64)[flat], bounds[:-1])
-        none = np.zeros(0, np.uint64)
-        hashes = np.concatenate([none, *hashes])
-        owners, kinds = np.concatenate([none.astype(np.int32), *owners]), np.concatenate([none.astype(np.uint8), *kinds])
-        where = (hashes >> np.uint64(20)) % np.uint64(buckets)
-        order = np.argsort(where, kind="stable")
-        hashes, owners, kinds, where = hashes[order], owners[order], kinds[order], where[order]
+        where = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         asked, edges = np.unique(where, return_index=True)
         edges = np.append(edges, len(where))
         own = {
             "doc_id": batch.column("doc_id").combine_chunks(), "held_out": pa.array(held),
             "n_tokens": pa.array(np.diff(bounds)), "known": pa.array(known), "base": pa.array(base), "logp": pa.array(logp),
-            "tails": pa.FixedSizeListArray.from_arrays(pa.array(by_tail.ravel()), n_tail),
+            "tails": pa.FixedSizeListArray.from_arrays(pa.array(by_tail), n_tail),
         }
-        links = {"bucket": pa.array(where.astype(np.int32)), "owner": pa.array(owners)}
+        links = {"place": pa.array(places), "owner": pa.array(owners)}
         first = np.array([len(x := _packed(pa.table(own)))], "<i8").tobytes() + x + _packed(pa.table(links))
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([number]), "bucket": pa.array([-1], pa.int32()), "payload": pa.array([first], pa.binary())})
         for k, b in enumerate(asked):
             part = slice(edges[k], edges[k + 1])
-            mark = kinds[part] | (np.where(held[owners[part]], 0, 128).astype(np.uint8))
-            blob = hashes[part].astype("<u8").tobytes() + mark.tobytes()
+            blob = hashes[part].astype("<u8").tobytes() + trained[part].tobytes() + kinds[part].tobytes()
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([number]), "bucket": pa.array([int(b)], pa.int32()), "payload": pa.array([blob], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(model.value[0])
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in text_groups(batches, 2, CHUNK_BYTES // 8):
             rows.append(batch)
             size += batch.column(2).nbytes
             if size >= CHUNK_BYTES:
-                yield from chunk(rows, number)
+                yield from chunk(coder, rows, number)
                 number, rows, size = number + 1, [], 0
         if rows:
-            yield from chunk(rows, number)
+            yield from chunk(coder, rows, number)
 
     return docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(run, _ASKED)
 
@@ -589,17 +641,16 @@ def _score_chunks(docs: DataFrame, model, buckets: int) -> DataFrame:
 def _count_bucket(group: pa.Table) -> pa.Table:
     """Answer the blobs of one bucket with counts; a row of totals by tail class comes along."""
     chunks, blobs = group.column("chunk").to_pylist(), group.column("payload").to_pylist()
-    sizes = [len(b) // 9 for b in blobs]
-    hashes = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(blobs, sizes, strict=True)])
-    marks = np.concatenate([np.frombuffer(b, np.uint8, n, 8 * n) for b, n in zip(blobs, sizes, strict=True)])
-    trained, kinds = marks >> 7, marks & 127
+    sizes = [len(b) // 17 for b in blobs]
+    part = lambda kind, skip: np.concatenate([np.frombuffer(b, kind, n, skip * n) for b, n in zip(blobs, sizes, strict=True)])
+    hashes, trained, kinds = part("<u8", 0), part("<u8", 8), part(np.uint8, 16)
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    counts = np.bincount(inverse, weights=trained).astype(np.uint32)
+    counts = np.bincount(inverse, weights=trained).astype("<u8")
     n = np.bincount(kinds, weights=trained, minlength=TAILS).astype("<i8")
     v = np.bincount(kinds[first], weights=counts > 0, minlength=TAILS).astype("<i8")
     answers, at = [], 0
     for size in sizes:
-        answers.append(zlib.compress(counts[inverse[at : at + size]].astype("<u4").tobytes(), 1))
+        answers.append(zlib.compress(counts[inverse[at : at + size]].tobytes(), 1))
         at += size
     bucket = group.column("bucket")[0].as_py()
     return pa.table(
@@ -622,10 +673,9 @@ def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     out = crc_mod5(df[id_col]) == 1 if held_out is None else held_out
     docs = df.select(df[id_col].alias("doc_id"), out.alias("held_out"), text_of(df, text_col).alias("text"))
     sample = sample_documents(docs, df.count())
-    likely = [w for w, _ in Counter(w for words in sample for w in words).most_common(2 * HEAD)]
-    found = head_words(docs, likely)
-    by_word, seen, by_end, n_docs, n_tail = word_profiles(docs, list(found))
-    vocab = choose_vocab(list(found), by_word, seen, by_end)
+    head = head_words(docs)
+    found, by_word, seen, by_end, n_docs, n_tail = word_profiles(docs, head)
+    vocab, found = choose_vocab(head, by_word, seen, by_end), dict(zip(head, found.tolist(), strict=True))
     counts = np.zeros(HEAD, np.int64)
     counts[: len(vocab.words)] = [n_docs, *(found[w] for w in vocab.words[1:])]
     net = Network(len(vocab.words))
@@ -635,10 +685,10 @@ def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             tails[vocab.ends.get(e, 0)] += n
         net.start_from(counts[: len(vocab.words)].astype(float), tails)
         coded, size = [], 0
-        for words in sample:
+        for own in Coder(vocab).coded(sample):
             if size < TRAIN_TOKENS:
-                coded.append(vocab.coded(words))
-                size += len(coded[-1])
+                coded.append(own)
+                size += len(own)
         if coded:
             net.train(coded)
         del coded, sample
@@ -674,10 +724,10 @@ def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 cut = 8 + int(np.frombuffer(raw, "<i8", 1)[0])
                 docs_, links = _unpacked(raw[8:cut]), _unpacked(raw[cut:])
             else:
-                replies[bucket] = np.frombuffer(zlib.decompress(raw), "<u4")
+                replies[bucket] = np.frombuffer(zlib.decompress(raw), "<u8")
         rows = docs_.num_rows
-        found = np.concatenate([np.zeros(0, np.uint32), *(replies[b] for b in sorted(replies))])
-        owner = links.column("owner").to_numpy()
+        found = np.concatenate([np.zeros(0, "<u8"), *(replies[b] for b in sorted(replies))])
+        owner, found = links.column("owner").to_numpy(), found[links.column("place").to_numpy()]
         logs = np.bincount(owner, weights=np.log10(found + 0.5), minlength=rows)
         known = docs_.column("known").to_numpy() + np.bincount(owner, weights=found > 0, minlength=rows).astype(np.int64)
         tails = docs_.column("tails").combine_chunks().flatten().to_numpy().reshape(rows, TAILS)

@@ -401,10 +401,9 @@ def test_language_model_learns_from_every_training_document(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("held_out", F.lit(False))
     counts = Counter(w for _, t in rows for w in t.encode().split())
     want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: L.HEAD - 1]
-    head = L.head_words(docs, [])
-    assert list(head.items()) == want and b"long7" in head  # only texts of over SAMPLE_CHARS have it
-    assert list(L.head_words(docs, sorted(counts)[: 2 * L.HEAD]).items()) == want
-    by_word, seen, by_end, n_docs, n_tail = L.word_profiles(docs, list(head))
+    head = L.head_words(docs)
+    found, by_word, seen, by_end, n_docs, n_tail = L.word_profiles(docs, head)
+    assert list(zip(head, found.tolist(), strict=True)) == want and b"long7" in head  # only texts of over SAMPLE_CHARS have it
     tails = Counter()
     for w, n in counts.items():
         tails[w.rstrip(L._ENDS)[-2:]] += n * (w not in head)
