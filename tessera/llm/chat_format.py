@@ -14,7 +14,7 @@ spreads over its messages; only its final, rendered form (which is one value by
 one row. Events before a message's last edit or regeneration are dropped ahead of the gathering.
 
 Defined results: null texts and roles are empty; events with equal sequence numbers are folded in the
-order of kind and text; a message whose last event is a ``delete`` is left out; a conversation left
+order of kind and text; a repeated delta counts twice, a repeated edit once; a message whose last event is a ``delete`` is left out; a conversation left
 without messages does not appear; null conversation ids form one conversation. Several messages of
 one turn are told apart by ``msg`` and rendered in its order.
 """
@@ -49,25 +49,51 @@ def fold_events(log: DataFrame) -> DataFrame:
     rows = rows.withColumn("reset", F.max(F.when(resets, F.struct("seq", "kind", "text"))).over(own))
     after = F.col("reset").isNull() | (F.struct("seq", "kind", "text") >= F.col("reset"))
     rows = rows.where(after)
-    said = F.transform(
-        F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))),
-        lambda e: F.when(e["kind"].isin("delta", "edit"), e["text"]).otherwise(F.lit("")),
-    )
+    # what is left are the last reset, maybe repeated, and the deltas after it
+    said = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))), lambda e: e["kind"] == "delta"), lambda e: e["text"])
+    begun = F.coalesce(F.max(F.when(F.col("kind") == "edit", F.col("text"))), F.lit(""))
     folded = rows.groupBy("conv_id", "turn", "msg").agg(
         F.min_by(F.coalesce("role", F.lit("")), F.struct("seq", "kind", "text")).alias("role"),
-        F.array_join(said, "").alias("text"),
+        F.concat(begun, F.array_join(said, "")).alias("text"),
         F.max_by("kind", F.struct("seq", "kind", "text")).alias("last_kind"),
     )
     return folded.where("last_kind <> 'delete'").drop("last_kind")
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """Messages to one row per conversation: conv_id, formatted."""
-    turn = F.concat(
-        F.lit("### "), escape(F.col("role"), role=True), F.lit(": "), escape(F.col("text")), F.lit(TURN_END + "\n")
-    )
-    said = F.array_sort(F.collect_list(F.struct("turn", "msg", turn.alias("out"))))
-    return messages.groupBy("conv_id").agg(F.array_join(F.transform(said, lambda m: m["out"]), "").alias("formatted"))
+def render(messages: DataFrame, trained: str = TRAINED_ROLE) -> DataFrame:
+    """Messages to one row per conversation: conv_id, formatted and loss_mask, the (start, length) of each
+    text of the trained role in ``formatted``, in code points from 0, in order."""
+    head = F.concat(F.lit("### "), escape(F.col("role"), role=True), F.lit(": "))
+    rows = messages.select("conv_id", "turn", "msg", (F.col("role") == trained).alias("trained"), head.alias("head"), escape(F.col("text")).alias("body"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "msg").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.char_length("head") + F.char_length("body") + len(TURN_END) + 1
+    start = F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0)) + F.char_length("head")
+    rows = rows.select(
+        "conv_id", "turn", "msg", "trained", start.alias("start"), F.char_length("body").cast("long").alias("length"),
+        F.concat("head", "body", F.lit(TURN_END + "\n")).alias("out"),
+    )
+    said = F.array_sort(F.collect_list(F.struct("turn", "msg", "trained", "start", "length", "out")))
+    whole = rows.groupBy("conv_id").agg(said.alias("said"))
+    mask = F.transform(F.filter("said", lambda m: m["trained"]), lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length")))
+    return whole.select("conv_id", F.array_join(F.transform("said", lambda m: m["out"]), "").alias("formatted"), mask.alias("loss_mask"))
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The texts that the spans of the mask cover, unescaped. The text is cut into chunks first, so that no
+    span is counted out from its beginning."""
+    size = 4096
+    chunks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def read(held: Column) -> Column:
+        def one(span: Column) -> Column:
+            first = F.floor(span["start"] / size)
+            n = F.floor((span["start"] + span["length"]) / size) - first + 1
+            near = F.array_join(F.slice(held["chunks"], (first + 1).cast("int"), n.cast("int")), "")
+            return unescape(F.substring(near, (span["start"] - first * size + 1).cast("int"), span["length"].cast("int")))
+
+        return F.transform(held["mask"], one)
+
+    return F.transform(F.array(F.struct(chunks.alias("chunks"), mask.alias("mask"))), read)[0]
 
 
 def read_back(formatted: Column) -> Column:
@@ -85,14 +111,31 @@ def read_back(formatted: Column) -> Column:
 
 
 def format_chats(log: DataFrame) -> DataFrame:
-    """conv_id and the formatted text of every conversation in the log."""
+    """conv_id, the formatted text and the loss mask of every conversation in the log."""
     return render(fold_events(log))
 
 
 def _as_log(rows: DataFrame) -> DataFrame:
-    """Finished turns as a log: every row is a message, streamed in one delta."""
+    """Finished turns as the log that could have led to them: every message is streamed in three pieces, and
+    by a hash some are begun wrongly and regenerated, some are edited on the way and some are put right
+    by a last edit. Events come in no order but that of ``seq``."""
     msg = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return rows.select("conv_id", "turn", msg.alias("msg"), F.lit(0).alias("seq"), "role", F.lit("delta").alias("kind"), "text")
+    rows = rows.select("conv_id", "turn", msg.alias("msg"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    step = F.ceil(F.char_length("text") / 3).cast("int")
+    p = [F.substring(F.col("text"), step * i + 1, step) for i in range(3)]
+    event = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    none = F.lit(None)
+    ways = [
+        [event(3, "delta", p[2]), event(1, "delta", p[0]), event(2, "delta", p[1])],
+        [event(5, "delta", p[2]), event(4, "delta", p[1]), event(3, "delta", p[0]), event(2, "regenerate", none), event(1, "delta", F.reverse(p[0]))],
+        [event(3, "delta", p[2]), event(2, "edit", F.concat(p[0], p[1])), event(1, "delta", p[1])],
+        [event(4, "edit", F.col("text")), event(1, "edit", p[1]), event(3, "delta", p[0]), event(2, "regenerate", none)],
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn", "msg"), F.lit(len(ways)))
+    events = F.when(way == 0, F.array(*ways[0]))
+    for k in range(1, len(ways)):
+        events = events.when(way == k, F.array(*ways[k]))
+    return rows.select("conv_id", "turn", "msg", "role", F.explode(events).alias("e")).select("conv_id", "turn", "msg", "role", "e.*")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +151,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.array_join(
         F.transform("turns", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), ""
     )
-    loss = F.array_join(
-        F.transform(F.filter("turns", lambda m: m["role"] == TRAINED_ROLE), lambda m: m["text"]), ""
-    )
+    read = read.withColumn("loss", F.array_join(under_mask(F.col("formatted"), F.col("loss_mask")), ""))
+    loss = F.col("loss")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

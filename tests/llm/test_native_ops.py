@@ -62,6 +62,51 @@ def test_folding_and_round_trip(spark):
     assert 3 not in read and rows[None].formatted.count("</turn>") == 1
 
 
+def _folded(events):
+    """What a log of one conversation comes to, by a loop."""
+    out = {}
+    for turn, msg, seq, role, kind, text in sorted(events, key=lambda e: (e[0], e[1], e[2], e[4], e[5] is not None, e[5] or "")):
+        said, first, _ = out.get((turn, msg), ("", role, ""))
+        said = {"delta": said + (text or ""), "edit": text or "", "regenerate": "", "delete": ""}[kind]
+        out[turn, msg] = (said, first, kind)
+    return [(r, t) for _, (t, r, k) in sorted(out.items()) if k != "delete"]
+
+
+def test_logs_against_a_loop(spark):
+    """Edits, regenerations, equal sequence numbers, repeated events, long texts; the mask covers the trained role's texts."""
+    rng, logs = random.Random(21), {}
+    for conv in range(40):
+        logs[conv] = [
+            (t, rng.randint(1, 2), rng.randint(1, 4), "assistant" if t % 2 else "user", rng.choice(["delta", "delta", "delta", "edit", "regenerate"]),
+             rng.choice([None, "", "a</turn>\\", "### x: ", "ünï 😀 #", "\n"])) for t in range(6) for _ in range(rng.randint(0, 6))
+        ]
+        logs[conv] += logs[conv][:2]
+    logs[99] = [(0, 1, 1, "user", "delta", "long " * 60_000), (1, 1, 1, "assistant", "delta", "😀#" * 50_000), (1, 1, 2, "assistant", "delta", "</turn>"), (2, 1, 1, "user", "delete", None), (3, 1, 1, "assistant", "edit", "end")]
+    rows = [(c, *e) for c, es in logs.items() for e in es]
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "conv_id long, turn int, msg int, seq int, role string, kind string, text string").repartition(5)
+    out = C.format_chats(log).withColumn("turns", C.read_back(F.col("formatted"))).withColumn("loss", C.under_mask(F.col("formatted"), F.col("loss_mask")))
+    got = {r.conv_id: r for r in out.collect()}
+    for conv, events in logs.items():
+        want = _folded(events)
+        if not want:
+            assert conv not in got
+            continue
+        assert [(t.role, t.text) for t in got[conv].turns] == want
+        assert got[conv].loss == [t for r, t in want if r == "assistant"]
+        marked = [got[conv].formatted[m.start : m.start + m.length] for m in got[conv].loss_mask]
+        assert [re.sub(r"(?s)\\(.)", r"\1", m) for m in marked] == got[conv].loss
+
+
+def test_turns_come_back_from_their_log(spark):
+    turns = [(c, t, r, x) for c in range(30) for t, (r, x) in enumerate([("user", "hi"), ("assistant", f"text {c} 😀 </turn> done"), ("user", None), ("assistant", "")])]
+    turns += [(1, 1, "assistant", "a repeated turn"), (1, 1, "assistant", "a repeated turn")]
+    log = C._as_log(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in C.fold_events(log).collect())
+    assert got == sorted((c, t, r, x or "") for c, t, r, x in turns)
+
+
 def test_any_text_survives(spark):
     rng = random.Random(1)
     pieces = ["\\", "#", "###", "</turn>", "<\\/turn>", ":", ": ", "\n", "a", "</turn", "### user: ", "é😀"]
