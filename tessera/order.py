@@ -132,19 +132,21 @@ def _position(keys: list[tuple[Column, bool]], bounds: list[tuple], kinds: list[
 
 
 class Ranges:
-    """A frame cut into ranges of its order keys. Building it runs two small jobs, or three."""
+    """A frame cut into ranges of its order keys, about as many as shuffle partitions unless ``n`` says
+    otherwise. Building it runs two small jobs, or three. ``ties`` tells rows apart that are equal in all
+    keys, where they are many."""
 
-    def __init__(self, df: DataFrame, order_by: OrderBy):
+    def __init__(self, df: DataFrame, order_by: OrderBy, n: int | None = None, ties: bool = True):
         self.name = fresh(df, "__range")
         self.terms = order_terms(df, order_by)
-        n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        n = max(1, n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         rows = max(SAMPLE, PER_RANGE * n)
         keys, kinds, found = self._keys(df), [], []
         if n > 1 and keys:
             sample = lambda: _sorted_sample(df.select(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)]), [up for _, up in keys], rows)
             found = sample()
             most = len(found) // n + 1  # rows of a range; more ties than that don't fit in one
-            if len(keys) == len(self.terms) and any(_same(a, b) for a, b in zip(found, found[most:], strict=False)):
+            if ties and len(keys) == len(self.terms) and any(_same(a, b) for a, b in zip(found, found[most:], strict=False)):
                 self.terms.append((_row_hash(df), True))
                 keys = self._keys(df)
                 found = sample()
