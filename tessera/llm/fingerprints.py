@@ -19,20 +19,24 @@ and one that no width frees is compared by its digests.
 The likeness of two texts is (a + b - d) / (a + b + d) for a and b paragraphs of which d differ: the
 share of common paragraphs.
 
-Scale: ids are cut into ranges of about equal size by approximate quantiles; a text travels once, to
-its range; the next document of a range's last one comes along as a guest row, one for each range.
-Dealing to blocks and gathering them happens inside the range's task, with no further exchange.
+Scale: documents are cut into ranges of about equal size, by their ids and, so that an id that many rows
+share (or none has) is split too, by the beginnings of their texts; a row's range is found by binary
+search. A text travels once, to its range; the next document of a range's last one comes along as a guest
+row, one for each range. Dealing to blocks and gathering them happens inside the range's task, with no
+further exchange.
 
 Defined results: null texts are empty; an empty text has no paragraphs, and two of them are alike (1).
 Documents are ordered by descending id, rows of one id by their text, null ids last; a single document
-is its own next. Rows that repeat an id fall into one range.
+is its own next. Ids may be of any type that has an order. Rows that are equal in their id and the first
+``BEGINNING`` characters of their text fall into one range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..order import Ranges, desc
 from ._util import shuffle_partitions, table, text_of
 
 #: Paragraphs end at line feeds, and at sentence ends before white space.
@@ -40,6 +44,8 @@ PARAGRAPH = r"(?<=[.!?])[\x20\x09-\x0D]+|\n+"
 #: Where words begin; words of a paragraph that stays whole, and of a part of a longer one, about (a power of two).
 WORD = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 LONG, EVERY = 32, 16
+#: Characters of a text that tell rows of one id apart when they are dealt to ranges.
+BEGINNING = 64
 TABLES, WIDTH, ROUNDS = 3, 8, 12
 #: Widths tried on a block that is stuck; paragraphs of a version in a block, about.
 RETRIES, BLOCK = (8, 32, 128), 4
@@ -190,38 +196,36 @@ def as_text(tables: Column) -> Column:
     )
 
 
-def with_next(df: DataFrame, carry: list[str]) -> DataFrame:
-    """(doc_id, text, ...) with next_<column> of the document that follows by descending id, and the range."""
+def with_next(df: DataFrame) -> tuple[DataFrame, WindowSpec]:
+    """(doc_id, text) and guest rows, with the range, and the window in which the next row is the document
+    that follows by descending id. A range's last document is followed by a guest, the first of the next
+    range; the last document of all by the first of all."""
     spark = df.sparkSession
-    ranges = 4 * shuffle_partitions(spark)
-    probs = [k / ranges for k in range(1, ranges)]
-    cuts = df.select(F.percentile_approx("doc_id", probs, 20 * ranges).alias("q")).first()["q"] if probs else []
-    cuts = sorted(set(cuts or []))
-    # null ids come after all others
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    placed = df.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at).cast("int"))
+    begins = F.substring("text", 1, BEGINNING)
+    r = Ranges(df, [desc("doc_id"), desc(begins)], n=4 * shuffle_partitions(spark), ties=False)
+    placed = r.df.withColumnRenamed(r.name, "range")
     # the first document of each range, by its id: one row for each range
     heads = placed.groupBy("range").agg(F.max("doc_id").alias("head")).collect()
-    order = sorted(r["range"] for r in heads)
-    follows = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}  # the next higher range; the lowest of the highest
-    listed = [F.struct(*[F.lit(v).cast(k).alias(n) for v, n, k in ((r["range"], "range", "int"), (r["head"], "head", "long"), (follows[r["range"]], "guest_of", "int"))]) for r in heads]
-    pairs = spark.range(1).select(F.explode(F.array(*listed).cast("array<struct<range:int,head:bigint,guest_of:int>>")).alias("p")).select("p.*")
+    order = sorted(h["range"] for h in heads)
+    guest_of = {k: order[i - 1] for i, k in enumerate(order)}  # the range before; the last one of the first
+    kind = df.schema["doc_id"].dataType.simpleString()
+    listed = [F.struct(F.lit(h["range"]).alias("range"), F.lit(h["head"]).cast(kind).alias("head"), F.lit(guest_of[h["range"]]).alias("guest_of")) for h in heads]
+    pairs = spark.range(1).select(F.explode(F.array(*listed).cast(f"array<struct<range:int,head:{kind},guest_of:int>>")).alias("p")).select("p.*")
     first = Window.partitionBy("range").orderBy(F.desc("text"))
     guests = (
         placed.join(F.broadcast(pairs), "range").where(F.col("doc_id").eqNullSafe(F.col("head")))
         .withColumn("k", F.row_number().over(first)).where("k = 1")
-        .withColumn("range", F.col("guest_of")).drop("head", "guest_of", "k")
+        .select("doc_id", "text", F.col("guest_of").alias("range"))
     )
     rows = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    w = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where("not guest").drop("guest")
+    return rows, Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
 
 
 def compare_versions(rows: DataFrame, pairs: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:
-    """The kept columns and a likeness for each named pair of digest arrays. ``rows`` is partitioned by
-    ``range``, and so is all that follows."""
+    """The kept columns and a likeness for each named pair of digest arrays, whose sketches are in columns
+    named ``<array>_sketch``. ``rows`` is partitioned by ``range``, and so is all that follows."""
     sides = list(dict.fromkeys(c for pair in pairs.values() for c in pair))
-    firsts = {n: F.array_size(peel(subtract(sketch(F.col(a)), sketch(F.col(b))))) for n, (a, b) in pairs.items()}
+    firsts = {n: F.array_size(peel(subtract(F.col(f"{a}_sketch"), F.col(f"{b}_sketch")))) for n, (a, b) in pairs.items()}
     rows = rows.select(
         "range", *keep, *sides, F.monotonically_increasing_id().alias("_row"),
         *[d.alias(f"_d_{n}") for n, d in firsts.items()],
@@ -264,8 +268,10 @@ def compare_versions(rows: DataFrame, pairs: dict[str, tuple[str, str]], keep: l
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    docs = docs.select(docs["doc_id"], text_of(docs).alias("text")).withColumn("own", digests(F.col("text")))
-    rows = with_next(docs, ["text", "own"])
+    rows, following = with_next(docs.select(docs["doc_id"], text_of(docs).alias("text")))
+    # a text travels alone; its digests and its sketch are made once, where it has arrived
+    rows = rows.withColumn("own", digests(F.col("text"))).withColumn("own_sketch", sketch(F.col("own")))
+    rows = rows.select("*", *[F.lead(c).over(following).alias(c.replace("own", "next")) for c in ("own", "own_sketch")], F.lead("text").over(following).alias("next_text")).where("not guest")
     n = F.char_length("text")
     half = F.floor(n / F.lit(2)).cast("int")
     rows = rows.withColumn(
@@ -273,11 +279,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.select(
         "range", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        "own", digests(F.col("edited")).alias("new"), F.col("next_own").alias("next"),
-    )
-    rows = rows.withColumn("fingerprint", as_text(sketch(F.col("own")))).withColumn(
-        "edited_fingerprint", as_text(sketch(F.col("new")))
-    )
+        "own", "next", "own_sketch", "next_sketch", digests(F.col("edited")).alias("new"),
+    ).withColumn("new_sketch", sketch(F.col("new")))
+    rows = rows.withColumn("fingerprint", as_text(F.col("own_sketch"))).withColumn("edited_fingerprint", as_text(F.col("new_sketch")))
     return compare_versions(
         rows,
         {"near_edited": ("own", "new"), "near_next": ("own", "next")},

@@ -168,6 +168,30 @@ def test_fingerprints_of_one_long_paragraph(spark, tmp_path):
     assert len(got) == 4 and all(r.near_edited > 0.15 and r.near_next == 0 for r in got)  # half is kept
 
 
+@pytest.mark.parametrize("kind", ["text", "one id", "no id", "2000 partitions"])
+def test_fingerprints_of_any_ids(spark, tmp_path, kind):
+    rng = random.Random(14)
+    ids = {"text": lambda i: f"d{i:03}", "one id": lambda i: 7, "no id": lambda i: None}.get(kind, lambda i: i)
+    texts = [" ".join(f"w{rng.randrange(500)}" + "." * (k % 4 == 3) for k in range(rng.randint(0, 40))) for _ in range(120)]
+    rows = [(ids(i), t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, f"doc_id {'string' if kind == 'text' else 'long'}, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2000" if kind[0] == "2" else "8")
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        ranges = P.with_next(docs)[0].where("not guest").groupBy("range").count().collect()
+        assert len(ranges) > 20 and max(r["count"] for r in ranges) < 20
+        got = P.op9_fingerprints(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]), reverse=True)
+    want = []
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_fingerprints_of_little(spark, tmp_path):
     one = spark.createDataFrame([(5, "Only one. Here.")], "doc_id long, text string")
     one.write.parquet(str(tmp_path / "one" / "documents.parquet"))
