@@ -6,14 +6,16 @@ every character of the whole text and adds spans that the patterns miss; base sp
 Model: characters are mapped to ``SYMBOLS``; one LSTM reads forwards, one backwards (softsign cells);
 a linear layer scores the tags (none and one for each kind) and a CRF's transitions join them. It is
 trained in numpy on the driver from labelled spans: base spans of a bounded sample of documents
-(``SAMPLE_ROWS`` by a hash of the id, up to ``SAMPLE_CHARS`` characters each) and spans written in other
+(``SAMPLE_ROWS`` by a hash of the id; of longer ones a stretch of ``SAMPLE_CHARS`` characters) and spans written in other
 usual forms into lines of these documents, with look-alikes that are no personal data.
 
 Decoding: a text is cut into windows of ``WINDOW`` characters that overlap by ``OVERLAP``. Windows of
-many texts run side by side. All-none is the best path wherever no tag's score can pay for leaving it,
-which is checked exactly; the other windows are decoded by Viterbi. Windows are then reconciled over
-the whole text: each character takes the tag of the window in which it lies furthest from an edge, and
-spans are read off the joined tags. An added span must not touch a base span and must hold what its
+many texts run side by side through the network. They are then reconciled over the whole text: each
+character takes its scores from the window in which it lies furthest from an edge, and one best path is
+found over the joined scores, across all seams. All-none is the best path wherever no stretch can pay for
+leaving it, which is checked exactly, so Viterbi runs over the rest only. A window none of whose
+characters can pay parts its neighbours: a stretch over all of it would be longer than any span may be.
+An added span must not touch a base span and must hold what its
 kind asks for (digits, checksum, an address' parts).
 
 Memory is bounded by groups of whole texts (``GROUP_BYTES``) and tiles of windows; nothing is shuffled.
@@ -41,8 +43,8 @@ from ._util import bounded_batches, bounded_sample, table, text_groups, text_of
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 16_000
 WINDOW, OVERLAP, TILE, GROUP_BYTES = 1024, 64, 1024, 4 << 20
-#: Size of each LSTM's state.
-STATE = 8
+#: Size of each LSTM's state, and windows that it is trained on.
+STATE, EXAMPLES = 8, 12_000
 
 # ---------------------------------------------------------------- base spans
 
@@ -193,7 +195,9 @@ class Tagger:
             d_x[t] = d_g
             grads["U" + side] += h.T @ d_g
             d_h, d_c = d_g @ self.p["U" + side].T, d_c * f
-        np.add.at(grads["X" + side], x.ravel(), d_x.reshape(-1, 4 * s))
+        which = np.zeros((x.size, SYMBOLS), d_x.dtype)
+        which[np.arange(x.size), x.ravel()] = 1
+        grads["X" + side] += which.T @ d_x.reshape(-1, 4 * s)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Tag scores (steps, windows, tags)."""
@@ -210,26 +214,28 @@ class Tagger:
         kf, kb = [], []
         f, b = self.lstm("f", x, kf), self.lstm("b", x[::-1], kb)[::-1]
         e = np.concatenate([f, b], 2) @ self.p["E"] + self.p["e"]
-        trans = self.p["T"].astype(float)
-        e64, cols = e.astype(float), np.arange(width)
-        alpha, beta = np.empty((steps, width, k)), np.zeros((steps, width, k))
-        alpha[0] = self.p["S"] + e64[0]
-        lse = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
-        for t in range(1, steps):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + trans, 1) + e64[t]
+        trans, start, e64, cols = self.p["T"].astype(float), self.p["S"].astype(float), e.astype(float), np.arange(width)
+        # forward and backward sums in probabilities, scaled step by step
+        top, most, ones = e64.max(2), trans.max(), np.ones(k)
+        emit, step = np.exp(e64 - top[:, :, None]), np.exp(trans - most)
+        alpha, beta, scale = np.empty((steps, width, k)), np.ones((steps, width, k)), np.empty((steps, width))
+        now = np.exp(start) * emit[0]
+        for t in range(steps):
+            if t:
+                now = (now @ step) * emit[t]
+            scale[t] = now @ ones
+            now /= scale[t][:, None]
+            alpha[t] = now
         for t in range(steps - 2, -1, -1):
-            beta[t] = lse(trans + (e64[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
-        path = self.p["S"][tags[0]] + e64[0, cols, tags[0]]
-        for t in range(1, steps):
-            path = path + trans[tags[t - 1], tags[t]] + e64[t, cols, tags[t]]
-        d_e = np.exp(alpha + beta - z[:, None])
+            beta[t] = (emit[t + 1] * beta[t + 1]) @ step.T / scale[t + 1][:, None]
+        z = np.log(scale).sum(0) + top.sum(0) + (steps - 1) * most
+        path = start[tags[0]] + e64[np.arange(steps)[:, None], cols, tags].sum(0) + trans[tags[:-1], tags[1:]].sum(0)
+        d_e = alpha * beta
         grads = {name: np.zeros_like(v) for name, v in self.p.items()}
         grads["S"] += d_e[0].sum(0) - np.bincount(tags[0], minlength=k)
-        pair = np.exp(alpha[:-1, :, :, None] + trans + (e64 + beta)[1:, :, None, :] - z[:, None, None]).sum((0, 1))
-        np.add.at(pair, (tags[:-1].ravel(), tags[1:].ravel()), -1)
-        grads["T"] += pair
-        np.add.at(d_e, (np.arange(steps)[:, None], cols, tags), -1)
+        pair = alpha[:-1].reshape(-1, k).T @ (emit * beta / scale[:, :, None])[1:].reshape(-1, k) * step
+        grads["T"] += pair - np.bincount(tags[:-1].ravel() * k + tags[1:].ravel(), minlength=k * k).reshape(k, k)
+        d_e[np.arange(steps)[:, None], cols, tags] -= 1
         d_e = d_e.astype("f4")
         grads["e"] += d_e.sum((0, 1))
         grads["E"] += np.concatenate([f, b], 2).reshape(-1, 2 * s).T @ d_e.reshape(-1, k)
@@ -238,7 +244,7 @@ class Tagger:
         self.lstm_back("b", x[::-1], kb, d_s[::-1, :, s:], grads)
         return float((z - path).sum()), grads
 
-    def train(self, x: np.ndarray, tags: np.ndarray, epochs: int = 6, batch: int = 96, rate: float = 0.02) -> None:
+    def train(self, x: np.ndarray, tags: np.ndarray, epochs: int = 14, batch: int = 320, rate: float = 0.03) -> None:
         """Adam; x and tags are (examples, steps)."""
         rng, n = np.random.default_rng(11), 0
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
@@ -257,22 +263,16 @@ class Tagger:
                     v[k] += np.float32(0.01) * (g * g - v[k])
                     self.p[k] -= np.float32(now / (1 - 0.9**n)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.99**n)) + np.float32(1e-6))
 
-    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows with a tag other than none on their best path, and these paths (windows, steps).
-
-        Leaving none and coming back along a stretch gains what its tags score above none, and at most
-        ``gain`` for each transition into the stretch's characters and one out of it. Where twice that
-        cannot be paid at any character, all-none is the best path and Viterbi is not needed.
-        """
+    def gain(self) -> float:
+        """What a transition may add at most, against staying at none."""
         trans, start = self.p["T"], self.p["S"]
-        gain = max(0.0, float((trans - trans[0, 0]).max()), float((start - start[0]).max()))
-        above = e[:, :, 1:].max(2) - e[:, :, 0]
-        some = np.flatnonzero((above + 2 * gain >= 0).any(0))
-        if not len(some):
-            return some, np.zeros((0, len(e)), np.uint8)
-        e = e[:, some]
+        return max(0.0, float((trans - trans[0, 0]).max()), float((start - start[0]).max()))
+
+    def viterbi(self, e: np.ndarray) -> np.ndarray:
+        """Best tags (windows, steps) of scores (steps, windows, tags)."""
+        trans = self.p["T"]
         steps, width, k = e.shape
-        best, back = start + e[0], np.zeros((steps, width, k), np.uint8)
+        best, back = self.p["S"] + e[0], np.zeros((steps, width, k), np.uint8)
         for t in range(1, steps):
             v = best[:, :, None] + trans
             back[t] = v.argmax(1)
@@ -281,8 +281,33 @@ class Tagger:
         paths[:, -1] = best.argmax(1)
         for t in range(steps - 1, 0, -1):
             paths[:, t - 1] = back[t][rows, paths[:, t]]
-        tagged = paths.any(1)
-        return some[tagged], paths[tagged]
+        return paths
+
+    def decode(self, e: np.ndarray) -> list[tuple[int, int, int]]:
+        """Stretches (start, end, tag) of the best path over scores (steps, tags).
+
+        A stretch off none gains what its tags score above none, and at most ``gain`` for each transition
+        into its characters and one out of it; so at most the sum of ``s``, above plus twice the gain. A
+        character through which no stretch has a sum of zero or more is none on the best path. The runs of
+        the other characters are decoded, each with a character more on either side, which is none.
+        """
+        s = (e[:, 1:].max(1) - e[:, 0]).astype(float) + 2 * self.gain()
+        sums = np.concatenate([[0.0], np.cumsum(s)])
+        ahead = sums[1:] - np.minimum.accumulate(sums[:-1])  # the best sum that ends at a character
+        after = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]  # the best one that begins there
+        edges = np.flatnonzero(np.diff((ahead + after - s >= 0).astype(np.int8), prepend=0, append=0))
+        out = []
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            lo, hi = max(0, a - 1), min(len(e), b + 1)
+            own = e[lo:hi, None].copy()
+            if lo < a:  # a character before is none, whatever comes before it
+                own[0, 0, 0] += 1e6
+            if hi > b:
+                own[-1, 0, 0] += 1e6
+            tags = self.viterbi(own)[0]
+            cuts = np.flatnonzero(np.diff(tags, prepend=0, append=0))
+            out += [(lo + int(x), lo + int(y), int(tags[x])) for x, y in zip(cuts, cuts[1:], strict=False) if tags[x]]
+        return out
 
 
 # ---------------------------------------------------------------- labelled spans
@@ -310,11 +335,12 @@ def _other_forms(rng: np.random.Generator) -> tuple[str, int]:
         (f"version {d(1)}.{d(1)}", -1), (f"{d(1)}.{d(1)}.{d(2)}", -1), (f"20{d(2)}-{d(2)}-{d(2)}", -1), (f"CC BY {d(1)}.0", -1),
         (f"{d(2)}:{d(2)}", -1), (d(int(rng.integers(1, 6))), -1), (f"{d(2)}.{d(2)} %", -1), (f"@{name}", -1), (f"a + b = {d(2)}", -1),
         (f"(see {w(4)})", -1), (f"{w(3)}-{w(4)}", -1), (f"${d(2)}.{d(2)}", -1), (f"#{d(4)}", -1), (f"{d(3)}/{d(4)}", -1),
+        (f"{d(3)} {d(3)} {d(3)}", -1), (f"{d(4)}-{d(4)}", -1), (f"{d(3)}-{d(3)}", -1), (f"{w(4)} at {w(4)}.", -1), (f"{d(6)}", -1),
     ]
     return made[rng.integers(len(made))]
 
 
-def examples(texts: list[str], steps: int = 96, most: int = 4000, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+def examples(texts: list[str], steps: int = 96, most: int = EXAMPLES, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
     """Windows of symbols and tags: around base spans, around written-in forms, and anywhere."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -330,10 +356,10 @@ def examples(texts: list[str], steps: int = 96, most: int = 4000, seed: int = 13
         ys.append(y)
 
     pool = [t for t in texts if t] or [" "]
-    for t in pool:
+    found = [base_spans(t) for t in pool]
+    for t, spans in zip(pool, found, strict=True):
         if len(xs) >= most // 3:
             break
-        spans = base_spans(t)
         for a, _, _ in spans[:3]:
             add(t, spans, a - int(rng.integers(0, steps - 24)))
     for _ in range(most // 2):
@@ -349,9 +375,8 @@ def examples(texts: list[str], steps: int = 96, most: int = 4000, seed: int = 13
             spans.append((len(before), len(before) + len(form), kind))
         add(text, spans, len(before) - int(rng.integers(0, steps - 24)))
     while len(xs) < most:
-        t = pool[rng.integers(len(pool))]
-        at = int(rng.integers(max(1, len(t) - steps)))
-        add(t, base_spans(t[max(0, at - 64) : at + steps + 64]) and [(a + max(0, at - 64), b + max(0, at - 64), k) for a, b, k in base_spans(t[max(0, at - 64) : at + steps + 64])], at)
+        k = rng.integers(len(pool))
+        add(pool[k], found[k], int(rng.integers(max(1, len(pool[k]) - steps))))
     return np.stack(xs), np.stack(ys)
 
 
@@ -387,26 +412,32 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int
     coded = [symbols_of(t) for t in texts]
     todo = [Window(i, a, n) for i, c in enumerate(coded) for a, n in windows_of(len(c))]
     todo.sort(key=lambda w: -w.size)
-    parts: dict[int, list[tuple[int, np.ndarray]]] = {}
+    gain, none = 2 * tagger.gain(), np.array([[1e6, 0, 0, 0, 0]], "f4")
+    parts: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for k in range(0, len(todo), TILE):
         tile = todo[k : k + TILE]
         x = np.full((tile[0].size + 2, len(tile)), EDGE, np.uint8)  # an edge before and after
         for j, w in enumerate(tile):
             x[1 : 1 + w.size, j] = coded[w.text][w.start : w.start + w.size]
-        which, paths = tagger.decode(tagger.emissions(x))
-        for j, path in zip(which, paths, strict=True):
-            w = tile[j]
-            parts.setdefault(w.text, []).append((w.start, path[1 : 1 + w.size]))
+        e = tagger.emissions(x)
+        some = (e[:, :, 1:].max(2) - e[:, :, 0] + gain >= 0).any(0)
+        for j in np.flatnonzero(some).tolist():
+            w = tile[j]  # of two windows each owns its half of the overlap
+            lo = OVERLAP // 2 if w.start else 0
+            hi = w.size - (OVERLAP // 2 if w.start + w.size < len(coded[w.text]) else 0)
+            parts.setdefault(w.text, []).append((w.start + lo, w.start + hi, e[1 + lo : 1 + hi, j].copy()))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for i, found in parts.items():
-        n = len(coded[i])
-        tags = np.zeros(n, np.uint8)
-        for start, path in found:  # of two windows each owns its half of the overlap
-            lo = start + (OVERLAP // 2 if start else 0)
-            hi = start + len(path) - (OVERLAP // 2 if start + len(path) < n else 0)
-            tags[lo:hi] = path[lo - start : hi - start]
-        edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
-        out[i] = [(int(a), int(b), int(tags[a]) - 1) for a, b in zip(edges, edges[1:], strict=False) if tags[a]]
+        found.sort(key=lambda p: p[0])
+        k = 0
+        while k < len(found):  # scores of neighbouring windows are put together and decoded as one
+            to = k + 1
+            while to < len(found) and found[to][0] == found[to - 1][1]:
+                to += 1
+            at, end = found[k][0] - 1, found[to - 1][1]
+            held = [none[: at >= 0], *(p[2] for p in found[k:to]), none[: end < len(coded[i])]]  # none beyond them, if not the text's ends
+            out[i] += [(max(at, 0) + a, max(at, 0) + b, tag - 1) for a, b, tag in tagger.decode(np.concatenate(held))]
+            k = to
     return out
 
 
@@ -478,7 +509,8 @@ def redact(text: str, spans) -> str:
 
 
 def sample_texts(docs: DataFrame, ident, text) -> list[str]:
-    rows = docs.select(ident.alias("i"), text.alias("text")).where(F.char_length("text").between(1, SAMPLE_CHARS))
+    begin = F.pmod(F.xxhash64(ident.cast("string"), F.lit(43)), F.greatest(F.char_length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    rows = docs.select(ident.alias("i"), F.substring(text, begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).where("text <> ''")
     return bounded_sample(rows, F.col("i"), SAMPLE_ROWS, 41, docs.count()).select("text").toArrow().column("text").to_pylist()
 
 

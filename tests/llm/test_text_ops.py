@@ -286,8 +286,6 @@ def test_decoding_against_all_paths(tagger):
     rng = np.random.default_rng(2)
     e = rng.normal(0, 2, (5, 30, 5)).astype("f4")
     e[:, :, 0] += 1
-    which, paths = tagger.decode(e)
-    found = {int(w): tuple(p) for w, p in zip(which, paths, strict=True)}
     import itertools
 
     for w in range(30):
@@ -295,7 +293,16 @@ def test_decoding_against_all_paths(tagger):
             itertools.product(range(5), repeat=5),
             key=lambda p: tagger.p["S"][p[0]] + sum(e[t, w, k] for t, k in enumerate(p)) + sum(tagger.p["T"][a, b] for a, b in zip(p, p[1:], strict=False)),
         )
-        assert found.get(w, (0,) * 5) == best
+        path = np.zeros(5, int)
+        for a, b, tag in tagger.decode(e[:, w]):
+            path[a:b] = tag
+        assert tuple(path) == best
+    long = rng.normal(0, 1, (400, 5)).astype("f4")
+    long[:, 0] += rng.choice([0, 6], 400)
+    path = np.zeros(400, int)
+    for a, b, tag in tagger.decode(long):
+        path[a:b] = tag
+    assert (path == tagger.viterbi(long[:, None])[0]).all() and path.any() and not path.all()
 
 
 def test_windows_are_reconciled(tagger):
@@ -311,6 +318,50 @@ def test_windows_are_reconciled(tagger):
     assert plain == ([], [])
 
 
+def _written_forms(rng):
+    """(name, text, kind) of the forms that the patterns miss."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = "4" + d(14)
+    card += next(str(k) for k in range(10) if P.luhn(card + str(k)))
+    return [
+        ("(at)", f"{rng.choice(['jo', 'anna', 'max'])} (at) {rng.choice(['mail', 'web'])}.{rng.choice(['com', 'org'])}", 0), ("spaced", " . ".join(str(rng.randint(1, 255)) for _ in range(4)), 1),
+        ("dashed", f"{d(3)}-555-{d(4)}", 3), ("bracketed", f"({d(3)}) 555-{d(4)}", 3), ("dotted", ".".join(card[i : i + 4] for i in range(0, 16, 4)), 2),
+    ]
+
+
+def test_other_forms_are_found(spark):
+    """Twenty places each, and look-alikes, in prose of the sample tables that the network hasn't seen."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 200 and 16000").orderBy("doc_id").collect()]
+    tagger, rng = P.train_tagger(texts[: len(texts) // 2]), random.Random(3)
+    docs, want = [], []
+    for _ in range(20):
+        for name, form, kind in _written_forms(rng):
+            t = rng.choice(texts[len(texts) // 2 :])
+            at = t.rfind(" ", 0, rng.randrange(len(t))) + 1
+            docs.append(t[:at] + form + " " + t[at:])
+            want.append((name, (at, at + len(form), kind)))
+    hits = Counter(name for (name, span), (_, every) in zip(want, P.spans_of(tagger, docs), strict=True) if span in every)
+    assert len(hits) == 5 and min(hits.values()) >= 18, hits
+    looks = ["version 1.2.34", "2024-05-17", "pages 120-134", "12.50 %", "order 123456", "10:45 am", "1914-1918", "room 12, floor 3", "@name", "$12.50", "#1234", "call at five."]
+    docs = []
+    for look in looks * 5:
+        t = rng.choice(texts[len(texts) // 2 :])
+        at = t.rfind(" ", 0, rng.randrange(len(t))) + 1
+        docs.append(t[:at] + look + " " + t[at:])
+    assert sum(len(every) - len(base) for base, every in P.spans_of(tagger, docs)) == 0
+
+
+def test_seams_change_nothing(tagger, monkeypatch):
+    rng = random.Random(6)
+    text = prose(rng, 400)
+    for shift in range(0, 60, 4):
+        own = ("x " * 30)[: 2 * (shift % 8)] + text[: 900 + shift] + " (743) 555-3824 " + text[900 + shift :]
+        split = P.tag_texts(tagger, [own])
+        with monkeypatch.context() as m:
+            m.setattr(P, "windows_of", lambda n: [(0, n)])
+            assert split == P.tag_texts(tagger, [own])
+
+
 def test_pii_of_edges(edge_docs, edge_rows, no_docs):
     extra = [(200, "Mail me: a.b@c.example.com, 10.1.2.3 or +1 (017) 555-7713! ü 4556 7375 8689 9855")]
     docs = edge_docs.unionByName(edge_docs.sparkSession.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
