@@ -48,7 +48,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.held = 0, []
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -56,8 +56,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
+        self.held.append(out)
         return out
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables written so far but these, when nothing that is still to be read is made from them."""
+        for df in self.held:
+            if not any(df is t for t in tables):
+                self.drop(df)
+        self.held = list(tables)
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table that no later step reads."""
         path = getattr(df, "_tessera_path", None)

@@ -336,6 +336,7 @@ def similarity_join(
     groups = groups.select(F.col("node").alias("rep"), F.col("label").alias("root"))
     docs = join_back(docs, links.join(groups, "rep", "left"), ["rep"], "left").withColumn("root", F.coalesce("root", "rep"))
     docs = scratch.write(docs)
+    scratch.keep_only(docs)
     whole = docs.groupBy("root").agg(first.alias("first"), F.count("*").alias("group_size"))
     return join_back(docs, whole, ["root"], "inner").select(
         "doc_id",
