@@ -47,7 +47,7 @@ from .components import connected_components
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 SIGNATURE, LEAF, DEPTH = 64, 128, 4
 #: Members of a component that one task verifies; blocks of a larger one; sets and hashes of a block at most.
-SMALL, BLOCKS, BLOCK_SETS, BLOCK_HASHES = 512, 4, 4096, 4 << 20
+SMALL, BLOCKS, BLOCK_SETS, BLOCK_HASHES = 512, 4, 2048, 1 << 20
 _ODD = np.random.default_rng(23).integers(0, 1 << 63, 64 + SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -207,13 +207,15 @@ def link_matrix(sets: list[np.ndarray], threshold: float, split: int | None = No
     are similar to which of the others."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owners = np.repeat(np.arange(n), sizes)
+    del values
+    codes, owners = codes.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), sizes)
     shared = counts[codes] > 1
-    column = np.cumsum(counts > 1) - 1
+    column = (np.cumsum(counts > 1) - 1).astype(np.int32)
     owners, codes = owners[shared], column[codes[shared]]
     order = np.argsort(codes, kind="stable")
     owners, codes = owners[order], codes[order]
-    width = max(64, min(8192, (16 << 20) // max(1, n)))
+    del order, shared, column, counts
+    width = max(64, min(8192, (8 << 20) // max(1, n)))
     cut = n if split is None else split
     both = np.zeros((cut, n if split is None else n - cut), np.float32)
     for at in range(0, int(codes[-1]) + 1 if len(codes) else 0, width):
