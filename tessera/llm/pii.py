@@ -14,7 +14,7 @@ many texts run side by side through the network. They are then reconciled over t
 character takes its scores from the window in which it lies furthest from an edge, and one best path is
 found over the joined scores, across all seams. All-none is the best path wherever no stretch can pay for
 leaving it, which is checked exactly, so Viterbi runs over the rest only. A window none of whose
-characters can pay parts its neighbours: a stretch over all of it would be longer than any span may be.
+characters adds to a stretch parts its neighbours: a stretch over all of it is longer than a span may be.
 An added span must not touch a base span and must hold what its
 kind asks for (digits, checksum, an address' parts).
 
@@ -32,6 +32,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from ._util import bounded_batches, bounded_sample, table, text_groups, text_of
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 16_000
 WINDOW, OVERLAP, TILE, GROUP_BYTES = 1024, 64, 1024, 4 << 20
+#: Characters that Viterbi takes side by side, about.
+CELLS = 1 << 18
 #: Size of each LSTM's state, and windows that it is trained on.
 STATE, EXAMPLES = 8, 12_000
 
@@ -263,10 +266,17 @@ class Tagger:
                     v[k] += np.float32(0.01) * (g * g - v[k])
                     self.p[k] -= np.float32(now / (1 - 0.9**n)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.99**n)) + np.float32(1e-6))
 
-    def gain(self) -> float:
-        """What a transition may add at most, against staying at none."""
-        trans, start = self.p["T"], self.p["S"]
-        return max(0.0, float((trans - trans[0, 0]).max()), float((start - start[0]).max()))
+    def bounds(self) -> tuple[float, float]:
+        """What a character of a stretch off none may gain by the transition into it from the one before,
+        and what a stretch must gain in all that way to pay for the way in and out, against staying at none."""
+        way = self.p["T"].astype(float) - float(self.p["T"][0, 0])
+        stay, enter, leave = way[1:, 1:].max(), way[0, 1:].max(), way[1:, 0].max()
+        return float(stay), float(stay - enter - leave)
+
+    def above(self, e: np.ndarray) -> np.ndarray:
+        """By how much the best tag of a character is above none, with the gain of staying off none."""
+        best = reduce(np.maximum, (e[..., k] for k in range(1, len(KINDS) + 1)))
+        return best - e[..., 0] + np.float32(self.bounds()[0])
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """Best tags (windows, steps) of scores (steps, windows, tags)."""
@@ -283,31 +293,39 @@ class Tagger:
             paths[:, t - 1] = back[t][rows, paths[:, t]]
         return paths
 
-    def decode(self, e: np.ndarray) -> list[tuple[int, int, int]]:
-        """Stretches (start, end, tag) of the best path over scores (steps, tags).
+    def paying(self, e: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of the characters (of scores (steps, tags)) that a stretch off none may hold on the best path.
 
-        A stretch off none gains what its tags score above none, and at most ``gain`` for each transition
-        into its characters and one out of it; so at most the sum of ``s``, above plus twice the gain. A
-        character through which no stretch has a sum of zero or more is none on the best path. The runs of
-        the other characters are decoded, each with a character more on either side, which is none.
-        """
-        s = (e[:, 1:].max(1) - e[:, 0]).astype(float) + 2 * self.gain()
+        A stretch gains the sum of ``above`` over its characters at most, and must reach what ``bounds`` says.
+        A character through which no stretch does is none on the best path."""
+        s = self.above(e).astype(float)
         sums = np.concatenate([[0.0], np.cumsum(s)])
         ahead = sums[1:] - np.minimum.accumulate(sums[:-1])  # the best sum that ends at a character
         after = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]  # the best one that begins there
-        edges = np.flatnonzero(np.diff((ahead + after - s >= 0).astype(np.int8), prepend=0, append=0))
-        out = []
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            lo, hi = max(0, a - 1), min(len(e), b + 1)
-            own = e[lo:hi, None].copy()
-            if lo < a:  # a character before is none, whatever comes before it
-                own[0, 0, 0] += 1e6
-            if hi > b:
-                own[-1, 0, 0] += 1e6
-            tags = self.viterbi(own)[0]
-            cuts = np.flatnonzero(np.diff(tags, prepend=0, append=0))
-            out += [(lo + int(x), lo + int(y), int(tags[x])) for x, y in zip(cuts, cuts[1:], strict=False) if tags[x]]
-        return out
+        pays = ahead + after - s >= self.bounds()[1] - 1e-3
+        edges = np.flatnonzero(np.diff(pays.astype(np.int8), prepend=0, append=0))
+        return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+    def decode(self, scores: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """Stretches (start, end, tag) of the best path over each of the scores (steps, tags), with none before
+        the first character and after the last."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in scores]
+        runs = sorted(((i, lo, hi) for i, e in enumerate(scores) for lo, hi in self.paying(e)), key=lambda r: r[1] - r[2])
+        none = np.zeros(len(KINDS) + 1, "f4")
+        none[0] = 1e6
+        at = 0
+        while at < len(runs):  # side by side, the longest first
+            steps = runs[at][2] - runs[at][1] + 2
+            part = runs[at : at + max(1, CELLS // steps)]
+            e = np.empty((steps, len(part), len(none)), "f4")
+            e[:] = none
+            for j, (i, lo, hi) in enumerate(part):
+                e[1 : 1 + hi - lo, j] = scores[i][lo:hi]  # a character before a run is none, and so is one after it
+            for (i, lo, _), tags in zip(part, self.viterbi(e), strict=True):
+                cuts = np.flatnonzero(np.diff(tags, prepend=0, append=0))
+                out[i] += [(lo + int(x) - 1, lo + int(y) - 1, int(tags[x])) for x, y in zip(cuts, cuts[1:], strict=False) if tags[x]]
+            at += len(part)
+        return [sorted(s) for s in out]
 
 
 # ---------------------------------------------------------------- labelled spans
@@ -412,7 +430,6 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int
     coded = [symbols_of(t) for t in texts]
     todo = [Window(i, a, n) for i, c in enumerate(coded) for a, n in windows_of(len(c))]
     todo.sort(key=lambda w: -w.size)
-    gain, none = 2 * tagger.gain(), np.array([[1e6, 0, 0, 0, 0]], "f4")
     parts: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for k in range(0, len(todo), TILE):
         tile = todo[k : k + TILE]
@@ -420,13 +437,14 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int
         for j, w in enumerate(tile):
             x[1 : 1 + w.size, j] = coded[w.text][w.start : w.start + w.size]
         e = tagger.emissions(x)
-        some = (e[:, :, 1:].max(2) - e[:, :, 0] + gain >= 0).any(0)
+        some = (tagger.above(e) > 0).any(0)
         for j in np.flatnonzero(some).tolist():
             w = tile[j]  # of two windows each owns its half of the overlap
             lo = OVERLAP // 2 if w.start else 0
             hi = w.size - (OVERLAP // 2 if w.start + w.size < len(coded[w.text]) else 0)
             parts.setdefault(w.text, []).append((w.start + lo, w.start + hi, e[1 + lo : 1 + hi, j].copy()))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    places, scores = [], []
     for i, found in parts.items():
         found.sort(key=lambda p: p[0])
         k = 0
@@ -434,10 +452,11 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int
             to = k + 1
             while to < len(found) and found[to][0] == found[to - 1][1]:
                 to += 1
-            at, end = found[k][0] - 1, found[to - 1][1]
-            held = [none[: at >= 0], *(p[2] for p in found[k:to]), none[: end < len(coded[i])]]  # none beyond them, if not the text's ends
-            out[i] += [(max(at, 0) + a, max(at, 0) + b, tag - 1) for a, b, tag in tagger.decode(np.concatenate(held))]
+            places.append((i, found[k][0]))
+            scores.append(np.concatenate([p[2] for p in found[k:to]]))
             k = to
+    for (i, at), spans in zip(places, tagger.decode(scores), strict=True):
+        out[i] += [(at + a, at + b, tag - 1) for a, b, tag in spans]
     return out
 
 

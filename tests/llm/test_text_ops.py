@@ -291,18 +291,19 @@ def test_decoding_against_all_paths(tagger):
     for w in range(30):
         best = max(
             itertools.product(range(5), repeat=5),
-            key=lambda p: tagger.p["S"][p[0]] + sum(e[t, w, k] for t, k in enumerate(p)) + sum(tagger.p["T"][a, b] for a, b in zip(p, p[1:], strict=False)),
+            key=lambda p: sum(e[t, w, k] for t, k in enumerate(p)) + sum(tagger.p["T"][a, b] for a, b in zip((0, *p), (*p, 0), strict=True)),
         )
         path = np.zeros(5, int)
-        for a, b, tag in tagger.decode(e[:, w]):
+        for a, b, tag in tagger.decode([e[:, w]])[0]:
             path[a:b] = tag
         assert tuple(path) == best
     long = rng.normal(0, 1, (400, 5)).astype("f4")
     long[:, 0] += rng.choice([0, 6], 400)
     path = np.zeros(400, int)
-    for a, b, tag in tagger.decode(long):
+    for a, b, tag in tagger.decode([long])[0]:
         path[a:b] = tag
-    assert (path == tagger.viterbi(long[:, None])[0]).all() and path.any() and not path.all()
+    none = np.array([[1e6, 0, 0, 0, 0]], "f4")
+    assert (path == tagger.viterbi(np.concatenate([none, long, none])[:, None])[0][1:-1]).all() and path.any() and not path.all()
 
 
 def test_windows_are_reconciled(tagger):
@@ -564,7 +565,7 @@ def test_rows_sent_grow_with_the_members(spark):
     members = every.select("row", (F.col("row") >= 2000).cast("long").alias("comp"))
     sent = {r["comp"]: (r["n"], r["most"]) for r in J.deal(members, every, scratch).groupBy("comp", "task").count()
             .groupBy("comp").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()}
-    assert sent[0][0] == J.BLOCKS * 2000 and sent[1][0] == J.BLOCKS * 8000 and sent[1][1] <= 2 * J.BLOCK_SETS
+    assert sent[0][0] == J.BLOCKS * 2000 and sent[1][0] == J.BLOCKS * 8000 and sent[1][1] <= 2.2 * J.BLOCK_SETS  # blocks are dealt by a hash
     found = J.verify(members, every, scratch, threshold=0.8, partitions=8).where("v is null").groupBy("u").agg(F.sum("n").alias("n"))
     # 56 runs each: two texts that differ in one word share at least 46 of 66, in the same place 51 of 61
     sets = [{tuple(t[k : k + 5]) for k in range(56)} for t in (r[1].split() for r in rows)]
