@@ -21,7 +21,7 @@ share of common paragraphs.
 
 Scale: documents are cut into ranges of about equal size, by their ids and, so that an id that many rows
 share (or none has) is split too, by the beginnings of their texts; a row's range is found by binary
-search. A text travels once, to its range; the next document of a range's last one comes along as a guest
+search. A text travels once, with its digests and sketch, to its range; the next document of a range's last one comes along as a guest
 row, one for each range. Dealing to blocks and gathering them happens inside the range's task, with no
 further exchange.
 
@@ -269,7 +269,7 @@ def compare_versions(rows: DataFrame, pairs: dict[str, tuple[str, str]], keep: l
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows, following = with_next(docs.select(docs["doc_id"], text_of(docs).alias("text")))
-    # a text travels alone; its digests and its sketch are made once, where it has arrived
+    # digests and the sketch of a text are made once, and travel with it
     rows = rows.withColumn("own", digests(F.col("text"))).withColumn("own_sketch", sketch(F.col("own")))
     rows = rows.select("*", *[F.lead(c).over(following).alias(c.replace("own", "next")) for c in ("own", "own_sketch")], F.lead("text").over(following).alias("next_text")).where("not guest")
     n = F.char_length("text")
