@@ -220,8 +220,7 @@ class Network:
         a, g = self.p["X"][x], hp @ self.p["U"]
         gates = a[:, : 2 * s] + g[:, : 2 * s]
         np.negative(gates, out=gates)
-        with np.errstate(over="ignore"):  # one over infinity is none, as it should be
-            np.exp(gates, out=gates)
+        np.exp(gates, out=gates)  # where this is infinite, one over it is none, as it should be
         gates += 1
         np.reciprocal(gates, out=gates)
         z, r, gn = gates[:, :s], gates[:, s:], g[:, 2 * s :]
@@ -234,10 +233,9 @@ class Network:
         The largest logit is subtracted only where the plain sum over- or underflows."""
         rows = np.arange(len(at))
         out = logits[rows, at]
-        with np.errstate(over="ignore", divide="ignore"):
-            e = np.exp(logits)
-            total = e @ np.ones(e.shape[1], e.dtype)
-            odd = np.flatnonzero(~((total > 1e-20) & (total < 1e30)))
+        e = np.exp(logits)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        odd = np.flatnonzero(~((total > 1e-20) & (total < 1e30)))
         if len(odd):
             top = logits[odd].max(1)
             e[odd] = np.exp(logits[odd] - top[:, None])
@@ -286,6 +284,7 @@ class Network:
         d_states[order] = d
         return out, d_states
 
+    @np.errstate(over="ignore")
     def window(self, x: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray):
         """Loss, gradients and last state of one window of (steps, streams): truncated backpropagation."""
         s, (steps, streams) = STATE, x.shape
@@ -317,9 +316,10 @@ class Network:
             d_h *= keep[t][:, None]
         before = np.stack([more[0] for more in kept]).reshape(-1, s)
         grads["U"] += before.T @ d_g.reshape(-1, 3 * s)
-        order = np.argsort(x.ravel(), kind="stable")
-        used, first = np.unique(x.ravel()[order], return_index=True)
-        grads["X"][used] = np.add.reduceat(d_x.reshape(-1, 3 * s)[order], first)
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
+        symbols = x.ravel()[order]
+        first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+        grads["X"][symbols[first]] = np.add.reduceat(d_x.reshape(-1, 3 * s)[order], first)
         return -float(logp.sum()), grads, h
 
     def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, streams: int = 32, steps: int = 24, rate: float = 0.01) -> None:
@@ -355,6 +355,7 @@ class Network:
             adam.step(grads, now.size, LEARN_RATE / np.sqrt(1 + adam.n / 64))
         return len(flat)
 
+    @np.errstate(over="ignore")
     def score(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log P of every token. ``ids`` holds documents end to end; document i is bounds[i]:bounds[i+1].
 
@@ -491,22 +492,20 @@ def word_profiles(docs: DataFrame, head: list[bytes]) -> tuple[np.ndarray, np.nd
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             if len(places.at) > size + COUNTED:
                 places, ends = Places(shared.value), array("q", [0] * size)
-            profiles, ids, owners = [], [], []
-            for text, out in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = places.of(tokens_of(text.as_py()))
-                n_tail += int(np.count_nonzero(own >= size))
-                if out:
-                    continue
-                profile = np.bincount(own[own < anchors], minlength=anchors) / max(len(own), 1)
-                ids.append(own)
-                owners.append(np.full(len(own), len(profiles)))
-                profiles.append(np.rint(profile * UNIT))
-            if not profiles:
-                continue
+            held_out = np.array(batch.column(1).to_pylist(), bool)
+            ids = [places.of(tokens_of(t.as_py())) for t in batch.column(0)]
+            lengths, ids = np.array([len(own) for own in ids]), np.concatenate(ids)
+            n_tail += int(np.count_nonzero(ids >= size))
             ends.extend(map(_end_code, islice(places.at, len(ends), None)))
-            n_docs += len(profiles)
-            profiles, rows = np.stack(profiles), len(profiles)
-            ids, owners = np.concatenate(ids), np.concatenate(owners)
+            ids, lengths = ids[np.repeat(~held_out, lengths)], lengths[~held_out]
+            rows = len(lengths)
+            if not rows:
+                continue
+            n_docs += rows
+            owners = np.repeat(np.arange(rows), lengths)
+            often = ids < anchors
+            profiles = np.bincount(owners[often] * anchors + ids[often], minlength=rows * anchors).reshape(rows, anchors)
+            profiles = np.rint(profiles / np.maximum(lengths, 1)[:, None] * UNIT)
             inside = ids < size
             held = np.bincount(owners[inside] * size + ids[inside], minlength=rows * size).reshape(rows, size)
             counts += held.sum(0)
