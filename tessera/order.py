@@ -153,7 +153,10 @@ class Ranges:
             kinds = [f.dataType for f in df.select(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)]).schema.fields]
         cuts = [found[len(found) * i // n] for i in range(1, n)] if found else []
         bounds = [b for i, b in enumerate(cuts) if not i or not _same(b, cuts[i - 1])]
-        self.df = df.withColumn(self.name, _position(keys, bounds, kinds))
+        # not deterministic by its form only: the optimizer may not carry the expression over to the other
+        # side of a join on the range (it lost the columns that the lambda refers to there)
+        number = F.when(F.spark_partition_id() < 0, F.lit(-1)).otherwise(_position(keys, bounds, kinds))
+        self.df = df.withColumn(self.name, number)
 
     def _keys(self, df: DataFrame) -> list[tuple[Column, bool]]:
         """The keys that cut, each in a form whose literals compare as the key does."""
