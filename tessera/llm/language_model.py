@@ -39,9 +39,10 @@ import io
 import math
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,8 @@ HEAD_CLASSES, CLASS_SIZE, TAILS, STATE = 32, 64, 24, 24
 HEAD = HEAD_CLASSES * CLASS_SIZE
 #: Bytes of text that are scored together, and streams and steps of a window.
 CHUNK_BYTES, STREAMS, STEPS = 24 << 20, 256, 32
+#: Rows of outputs and parameters that are worked on together.
+ROWS, PART = 1024, 8192
 #: Tail tokens in a bucket, about.
 BUCKET_TOKENS = 1_000_000
 END = b"\n"  # no word holds a line feed
@@ -77,22 +80,18 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+word_hash = xxhash.xxh3_64_intdigest
 
 
 class Places:
     """Words by the order in which they come, so that what is known of a word is looked up once."""
 
     def __init__(self, words: list[bytes] | None = None):
-        self.at: dict[bytes, int] = {w: i for i, w in enumerate(words or ())}
+        words = words or ()
+        self.at: dict[bytes, int] = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        at = self.at
-        out = np.fromiter(map(at.get, words, repeat(-1)), np.int64, len(words))
-        for k in np.flatnonzero(out < 0).tolist():
-            out[k] = at.setdefault(words[k], len(at))
-        return out
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
 
 @dataclass
@@ -102,16 +101,18 @@ class Vocab:
     words: list[bytes]
     ends: dict[bytes, int]
 
-    def tail(self, word: bytes) -> int:
-        return self.ends.get(word.rstrip(_ENDS)[-2:], 0)
+    def codes(self, words: Iterable[bytes]) -> list[int]:
+        """Ids of words that are no head words."""
+        of = {e: HEAD + k for e, k in self.ends.items()}.get
+        return [of(w.rstrip(_ENDS)[-2:], HEAD) for w in words]
 
 
 class Coder:
-    """Ids of words: head words have their own, the others HEAD + their class. Words and the hashes of
-    tail words are kept up to a bound, which ``trim`` enforces between groups of texts."""
+    """Ids of words: head words have their own, the others HEAD + their class. Words and, where asked for, the
+    hashes of tail words are kept up to a bound, which ``trim`` enforces between groups of texts."""
 
-    def __init__(self, vocab: Vocab):
-        self.vocab = vocab
+    def __init__(self, vocab: Vocab, hashed: bool = False):
+        self.vocab, self.hashed = vocab, hashed
         self.trim(0)
 
     def trim(self, most: int = 2 * COUNTED) -> None:
@@ -124,10 +125,11 @@ class Coder:
         return self.places.of(words)
 
     def known(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and hashes by place, of all words so far."""
-        for w in islice(self.places.at, len(self.codes), None):
-            self.codes.append(HEAD + self.vocab.tail(w))
-            self.hashes.append(word_hash(w))
+        """Ids and hashes (if any) by place, of all words so far."""
+        fresh = list(islice(self.places.at, len(self.codes), None))
+        self.codes.extend(self.vocab.codes(fresh))
+        if self.hashed:
+            self.hashes.extend(map(word_hash, fresh))
         return np.array(self.codes).astype(np.int64), np.array(self.hashes)
 
     def coded(self, docs: list[list[bytes]]) -> list[np.ndarray]:
@@ -168,35 +170,69 @@ def choose_vocab(head: list[bytes], by_word: np.ndarray, seen: dict[bytes, int],
 
 
 class Adam:
-    """Moments of a network's parameters."""
+    """Moments of a network's parameters, which from here on lie end to end, as their gradients do."""
 
     def __init__(self, params: dict[str, np.ndarray]):
-        self.p, self.n = params, 0
-        self.m, self.v = ({k: np.zeros_like(a) for k, a in params.items()} for _ in range(2))
-
-    def step(self, grads: dict[str, np.ndarray], tokens: int, rate: float) -> None:
+        kind = params["U"].dtype
+        self.p, self.m, self.v, self.g = np.zeros((4, sum(a.size for a in params.values())), kind)
+        self.grads, self.n, at = {}, 0, 0
+        for k, a in params.items():
+            part = slice(at, at := at + a.size)
+            self.p[part] = a.ravel("K")
+            params[k], self.grads[k] = (x[part].reshape(a.T.shape).T if a.flags.f_contiguous else x[part].reshape(a.shape) for x in (self.p, self.g))
+
+    def step(self, tokens: int, rate: float) -> None:
         self.n += 1
         scale = 1 / tokens
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) * scale
+        norm = np.sqrt(float(self.g @ self.g)) * scale
         scale /= max(1.0, norm / 2)
-        m, v, n = self.m, self.v, self.n
-        for k, g in grads.items():
-            g *= np.float32(scale)
-            m[k] += np.float32(0.1) * (g - m[k])
-            v[k] += np.float32(0.002) * (g * g - v[k])
-            self.p[k] -= np.float32(rate / (1 - 0.9**n)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.998**n)) + np.float32(1e-6))
+        grow, rate = 1 / math.sqrt(1 - 0.998**self.n), rate / (1 - 0.9**self.n)
+        for at in range(0, len(self.p), PART):  # parts that stay in the processor's cache
+            p, m, v, g = (x[at : at + PART] for x in (self.p, self.m, self.v, self.g))
+            g *= scale
+            more = g - m
+            more *= 0.1
+            m += more
+            np.multiply(g, g, out=more)
+            more -= v
+            more *= 0.002
+            v += more
+            np.sqrt(v, out=more)
+            more *= grow
+            more += 1e-6
+            np.divide(m, more, out=more)
+            more *= rate
+            p -= more
+
+
+class Room:
+    """Arrays that are written over and over; none of them travels."""
+
+    def __init__(self):
+        self.held: dict[str | int, np.ndarray] = {}
+
+    def __reduce__(self):
+        return Room, ()
+
+    def of(self, name: str | int, kind: np.dtype, *shape: int) -> np.ndarray:
+        size, held = math.prod(shape), self.held.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self.held[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
 
 
 class Network:
-    """A gated recurrent unit and a class-factored output; float32 numpy, gradients by hand."""
+    """A gated recurrent unit and a class-factored output; float32 numpy, gradients by hand.
+
+    Steps hold a stream in each column, so that the gates are whole blocks of memory; outputs hold a token in each row."""
 
     def __init__(self, n_head: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) * 0.1).astype("f4")
         s, classes = STATE, HEAD_CLASSES + TAILS
-        self.n_head = n_head
+        self.n_head, self.room = n_head, Room()
         self.p = {
-            "X": draw(HEAD + TAILS + 1, 3 * s),  # inputs: head words, tail classes, begin
+            "X": np.asfortranarray(draw(HEAD + TAILS + 1, 3 * s)),  # inputs: head words, tail classes, begin
             "U": draw(s, 3 * s) * np.float32(2),
             "W": draw(s, classes),
             "b": np.zeros(classes, "f4"),
@@ -213,114 +249,132 @@ class Network:
         flat = self.p["v"].reshape(-1)
         flat[: len(counts)] = np.log(counts + 0.5)
 
-    def step(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray):
-        """One step for all streams; the state of a stream whose document begins is dropped first."""
+    def step(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray, slot: int = 0):
+        """One step for all streams, (state, streams); the state of a stream whose document begins is dropped
+        first. What is returned lies in the room until the next step with the same slot."""
         s = STATE
-        hp = h * keep[:, None]
-        a, g = self.p["X"][x], hp @ self.p["U"]
-        gates = a[:, : 2 * s] + g[:, : 2 * s]
+        held = self.room.of(slot, h.dtype, 9 * s, len(x))
+        a, g, hp, n, new = held[: 3 * s], held[3 * s : 6 * s], held[6 * s : 7 * s], held[7 * s : 8 * s], held[8 * s :]
+        np.multiply(h, keep, out=hp)
+        np.take(self.p["X"].T, x, axis=1, out=a, mode="clip")
+        np.matmul(self.p["U"].T, hp, out=g)
+        gates, gn = a[: 2 * s], g[2 * s :]
+        gates += g[: 2 * s]
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)  # where this is infinite, one over it is none, as it should be
         gates += 1
         np.reciprocal(gates, out=gates)
-        z, r, gn = gates[:, :s], gates[:, s:], g[:, 2 * s :]
-        n = np.tanh(a[:, 2 * s :] + r * gn)
-        return n + z * (hp - n), (hp, z, r, gn, n)
-
-    @staticmethod
-    def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log P at the given column of each row, the exponentials of the logits and one over their sums.
-        The largest logit is subtracted only where the plain sum over- or underflows."""
-        rows = np.arange(len(at))
-        out = logits[rows, at]
-        e = np.exp(logits)
-        total = e @ np.ones(e.shape[1], e.dtype)
-        odd = np.flatnonzero(~((total > 1e-20) & (total < 1e30)))
-        if len(odd):
-            top = logits[odd].max(1)
-            e[odd] = np.exp(logits[odd] - top[:, None])
+        z, r = gates[:s], gates[s:]
+        np.multiply(r, gn, out=n)
+        n += a[2 * s :]
+        np.tanh(n, out=n)
+        np.subtract(hp, n, out=new)
+        new *= z
+        new += n
+        return new, (hp, z, r, gn, n)
+
+    def _part(self, rows: np.ndarray, weights: np.ndarray, at: np.ndarray, grads: np.ndarray | None = None, d: np.ndarray | None = None):
+        """log P at the given column of each row (states and a one) of the softmax of rows @ weights; adds the
+        gradient of the weights and sets that of the states. The largest logit is subtracted only where the
+        plain sum over- or underflows."""
+        n, size = len(at), weights.shape[1]
+        e = np.matmul(rows, weights, out=self.room.of("e", rows.dtype, n, size))
+        flat, where = e.reshape(-1), np.arange(0, n * size, size) + at
+        out = flat.take(where)
+        np.exp(e, out=e)
+        total = e @ np.ones(size, e.dtype)
+        if not (total.min() > 1e-20 and total.max() < 1e30):
+            odd = np.flatnonzero(~((total > 1e-20) & (total < 1e30)))
+            logits = rows[odd] @ weights
+            top = logits.max(1)
+            e[odd] = np.exp(logits - top[:, None])
             total[odd] = e[odd].sum(1)
             out[odd] -= top
         out -= np.log(total)
-        return out, e, 1 / total
+        if grads is not None:
+            np.reciprocal(total, out=total)
+            e *= total[:, None]
+            flat[where] -= 1
+            grads += rows.T @ e
+            np.matmul(e, weights[:-1].T, out=d)
+        return out
 
-    def outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
+    def outputs(self, rows: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """log P(class) + log P(word in class) of each target; tail targets (>= HEAD) have no word part.
-        With ``grads`` also the gradient of the summed negative logarithm."""
+        ``rows`` hold a state and a one each. With ``grads`` also the gradient of the summed negative logarithm."""
+        s, kind, n = STATE, rows.dtype, len(targets)
         cls = np.where(targets < HEAD, targets // CLASS_SIZE, targets - HEAD + HEAD_CLASSES)
         order = np.argsort(cls.astype(np.uint8), kind="stable")  # rows of a class lie together from here on
-        cls, words, states = cls[order], targets[order] % CLASS_SIZE, states[order]
-        logits = states @ self.p["W"]
-        logits += self.p["b"]
-        found, e, scale = self._softmax(logits, cls)
-        d = None
+        cls, words = cls[order], targets[order] % CLASS_SIZE
+        rows = np.take(rows, order, axis=0, out=self.room.of("sorted", kind, n, s + 1), mode="clip")
+        by_class, by_word = np.vstack([self.p["W"], self.p["b"]]), np.concatenate([self.p["V"], self.p["v"][:, None]], 1)
+        found, d, more, g_class, g_word = np.empty(n, kind), None, None, None, [None] * HEAD_CLASSES
         if grads is not None:
-            e *= scale[:, None]
-            e[np.arange(len(cls)), cls] -= 1
-            grads["W"] += states.T @ e
-            grads["b"] += e.sum(0)
-            d = e @ self.p["W"].T
-        edges = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
+            d, more = self.room.of("d", kind, n, s), self.room.of("more", kind, n, s)
+            g_class, g_word = np.zeros_like(by_class), np.zeros_like(by_word)
+        part = lambda x, at: None if x is None else x[at]
+        for k in range(0, n, ROWS):
+            at = slice(k, k + ROWS)
+            found[at] = self._part(rows[at], by_class, cls[at], g_class, part(d, at))
+        edges = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1)).tolist()
         for c in range(HEAD_CLASSES):
-            at = slice(edges[c], edges[c + 1])
-            own, k = states[at], words[at]
-            if not len(k):
-                continue
-            logits = own @ self.p["V"][c]
-            logits += self.p["v"][c]
-            word, e, scale = self._softmax(logits, k)
-            found[at] += word
-            if grads is not None:
-                e *= scale[:, None]
-                e[np.arange(len(k)), k] -= 1
-                grads["V"][c] += own.T @ e
-                grads["v"][c] += e.sum(0)
-                d[at] += e @ self.p["V"][c].T
+            for k in range(edges[c], edges[c + 1], ROWS):
+                at = slice(k, min(k + ROWS, edges[c + 1]))
+                found[at] += self._part(rows[at], by_word[c], words[at], g_word[c], part(more, at))
         out = np.empty_like(found)
         out[order] = found
-        if d is None:
+        if grads is None:
             return out, None
-        d_states = np.empty_like(d)
+        d[: edges[-1]] += more[: edges[-1]]
+        grads["W"][...], grads["b"][...] = g_class[:-1], g_class[-1]
+        grads["V"][...], grads["v"][...] = g_word[:, :-1], g_word[:, -1]
+        d_states = self.room.of("d_states", kind, n, s)
         d_states[order] = d
         return out, d_states
 
     @np.errstate(over="ignore")
-    def window(self, x: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray):
-        """Loss, gradients and last state of one window of (steps, streams): truncated backpropagation."""
-        s, (steps, streams) = STATE, x.shape
-        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        states, kept = [], []
+    def window(self, x: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray, grads: dict | None = None):
+        """Loss, gradients (written to ``grads`` where given) and last state, (streams, state), of one window of
+        (steps, streams): truncated backpropagation."""
+        s, (steps, streams), kind = STATE, x.shape, self.p["U"].dtype
+        grads = {k: np.empty_like(v) for k, v in self.p.items()} if grads is None else grads
+        keep = keep.astype(kind, copy=False)
+        rows, kept, now = self.room.of("rows", kind, steps, streams, s + 1), [], np.ascontiguousarray(h.T, kind)
+        rows[:, :, s] = 1
         for t in range(steps):
-            h, more = self.step(x[t], h, keep[t])
-            states.append(h)
+            now, more = self.step(x[t], now, keep[t], t)
+            rows[t, :, :s] = now.T
             kept.append(more)
-        logp, d_states = self.outputs(np.concatenate(states), targets.ravel(), grads)
+        logp, d_states = self.outputs(rows.reshape(-1, s + 1), targets.ravel(), grads)
         d_states = d_states.reshape(steps, streams, s)
-        kind = d_states.dtype
-        d_x, d_h = np.empty((steps, streams, 3 * s), kind), np.zeros((streams, s), kind)
-        d_g = np.empty((steps, streams, 3 * s), kind)
-        back = np.ascontiguousarray(self.p["U"].T)
+        d_x, d_h, d_u = self.room.of("d_x", kind, 3 * s, steps, streams), np.zeros((s, streams), kind), np.zeros((3 * s, s), kind)
+        d_g, d_an, some = (self.room.of(k, kind, r * s, streams) for k, r in (("d_g", 3), ("d_an", 1), ("some", 1)))
         for t in reversed(range(steps)):
             hp, z, r, gn, n = kept[t]
-            d_h += d_states[t]
-            now, keep_z = d_x[t], 1 - z
-            d_an = now[:, 2 * s :]
-            np.multiply(d_h, keep_z, out=d_an)
-            np.multiply(d_h, (hp - n) * (z * keep_z), out=now[:, :s])
-            d_an *= 1 - n * n
-            np.multiply(d_an, gn * (r * (1 - r)), out=now[:, s : 2 * s])
-            d_g[t, :, : 2 * s] = now[:, : 2 * s]
-            np.multiply(d_an, r, out=d_g[t, :, 2 * s :])
+            d_z, d_r, d_gn = d_g[:s], d_g[s : 2 * s], d_g[2 * s :]
+            d_h += d_states[t].T
+            np.subtract(1, z, out=some)
+            np.multiply(d_h, some, out=d_an)
+            np.subtract(hp, n, out=d_z)
+            d_z *= d_an
+            d_z *= z
+            np.multiply(n, n, out=some)
+            np.subtract(1, some, out=some)
+            d_an *= some
+            np.multiply(d_an, r, out=d_gn)
+            np.subtract(1, r, out=d_r)
+            d_r *= gn
+            d_r *= d_gn
+            d_x[: 2 * s, t], d_x[2 * s :, t] = d_g[: 2 * s], d_an
+            d_u += d_g @ hp.T
             d_h *= z
-            d_h += d_g[t] @ back
-            d_h *= keep[t][:, None]
-        before = np.stack([more[0] for more in kept]).reshape(-1, s)
-        grads["U"] += before.T @ d_g.reshape(-1, 3 * s)
-        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        symbols = x.ravel()[order]
-        first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
-        grads["X"][symbols[first]] = np.add.reduceat(d_x.reshape(-1, 3 * s)[order], first)
-        return -float(logp.sum()), grads, h
+            d_h += np.matmul(self.p["U"], d_g, out=some)
+            d_h *= keep[t]
+        grads["U"][...] = d_u.T
+        symbols, size = x.ravel(), HEAD + TAILS + 1
+        for own, d in zip(grads["X"].T, d_x.reshape(3 * s, -1), strict=True):
+            own[...] = np.bincount(symbols, d, size)
+        return -float(logp.sum()), grads, now.T.copy()
 
     def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, streams: int = 32, steps: int = 24, rate: float = 0.01) -> None:
         """Adam over windows; ``docs`` hold ids that end with 0."""
@@ -336,8 +390,8 @@ class Network:
             h = np.zeros((width, STATE), "f4")
             total = total or epochs * (-(-size // steps))
             for t in range(0, size, steps):
-                _, grads, h = self.window(x[t : t + steps], y[t : t + steps], keep[t : t + steps], h)
-                adam.step(grads, y[t : t + steps].size, rate * (1 - 0.9 * (adam.n + 1) / total))
+                _, _, h = self.window(x[t : t + steps], y[t : t + steps], keep[t : t + steps], h, adam.grads)
+                adam.step(y[t : t + steps].size, rate * (1 - 0.9 * (adam.n + 1) / total))
 
     def learn(self, docs: list[np.ndarray], adam: Adam) -> int:
         """One pass over every token of ``docs`` (ids that end with 0); returns how many there were.
@@ -351,8 +405,8 @@ class Network:
         h = np.zeros((width, STATE), "f4")
         for t in range(0, len(at), LEARN_STEPS):
             now = at[t : t + LEARN_STEPS]
-            _, grads, h = self.window(inputs[now], flat[now], (~first[now]).astype("f4"), h)
-            adam.step(grads, now.size, LEARN_RATE / np.sqrt(1 + adam.n / 64))
+            _, _, h = self.window(inputs[now], flat[now], (~first[now]).astype("f4"), h, adam.grads)
+            adam.step(now.size, LEARN_RATE / math.sqrt(1 + adam.n / 64))
         return len(flat)
 
     @np.errstate(over="ignore")
@@ -379,23 +433,24 @@ class Network:
         start = np.concatenate([[0], np.cumsum(load)[:-1]])
         first = np.zeros(len(ids), bool)
         first[bounds[:-1]] = True
-        before = np.empty_like(ids)
+        before = np.empty(len(ids), np.int64)
         before[1:] = ids[:-1]
         inputs = np.where(first, HEAD + TAILS, before)[place]
         keep, targets = (~first).astype("f4")[place], ids[place]
-        h, done = np.zeros((width, STATE), "f4"), np.zeros(len(ids), "f4")
-        states, at, waiting = [], [], 0
-        for t in range(int(load[0])):
-            h = h[: np.searchsorted(-load, -t, side="left")]  # streams that still run
-            now = start[: len(h)] + t
-            h, _ = self.step(inputs[now], h, keep[now])
-            states.append(h)
-            at.append(now)
-            waiting += len(h)
-            if waiting >= STREAMS * STEPS or t + 1 == load[0]:
-                where = np.concatenate(at)
-                done[where], _ = self.outputs(np.concatenate(states), targets[where])
-                states, at, waiting = [], [], 0
+        h, done = np.zeros((STATE, width), "f4"), np.zeros(len(ids), "f4")
+        rows = np.empty((STREAMS * STEPS, STATE + 1), "f4")
+        rows[:, STATE] = 1
+        for t in range(0, int(load[0]), STEPS):
+            at = start[: np.searchsorted(-load, -t, side="left")] + np.arange(t, min(t + STEPS, load[0]))[:, None]
+            runs = np.searchsorted(-load, -np.arange(t, t + len(at)), side="left").tolist()  # streams that still run
+            last = np.minimum(at, len(ids) - 1)
+            x, kept, waiting = inputs[last], keep[last], 0
+            for k, now in enumerate(runs):
+                h, _ = self.step(x[k, :now], np.ascontiguousarray(h[:, :now]), kept[k, :now], k % 2)
+                rows[waiting : waiting + now, :STATE] = h.T
+                waiting += now
+            where = at[np.arange(at.shape[1]) < np.array(runs)[:, None]]
+            done[where], _ = self.outputs(rows[:waiting], targets[where])
         out[place] = done
         return out
 
@@ -440,9 +495,12 @@ def _slot(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "blob": pa.array([_stored(arrays)], pa.binary())})
 
 
-def _end_code(word: bytes) -> int:
-    end = word.rstrip(_ENDS)[-2:]
-    return len(end) << 16 | int.from_bytes(end, "big")
+class _EndCodes(dict):
+    """Numbers of endings, each worked out once."""
+
+    def __missing__(self, end: bytes) -> int:
+        code = self[end] = len(end) << 16 | int.from_bytes(end, "big")
+        return code
 
 
 def head_words(docs: DataFrame) -> list[bytes]:
@@ -488,7 +546,7 @@ def word_profiles(docs: DataFrame, head: list[bytes]) -> tuple[np.ndarray, np.nd
         places, ends = Places(shared.value), array("q", [0] * size)
         by_word, counts, place = np.zeros((size, anchors)), np.zeros(size, np.int64), np.full(3 << 16, -1, np.int64)
         codes, seen, by_end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, anchors))
-        n_docs = n_tail = 0
+        n_docs, n_tail, end_codes = 0, 0, _EndCodes()
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             if len(places.at) > size + COUNTED:
                 places, ends = Places(shared.value), array("q", [0] * size)
@@ -496,7 +554,7 @@ def word_profiles(docs: DataFrame, head: list[bytes]) -> tuple[np.ndarray, np.nd
             ids = [places.of(tokens_of(t.as_py())) for t in batch.column(0)]
             lengths, ids = np.array([len(own) for own in ids]), np.concatenate(ids)
             n_tail += int(np.count_nonzero(ids >= size))
-            ends.extend(map(_end_code, islice(places.at, len(ends), None)))
+            ends.extend([end_codes[w.rstrip(_ENDS)[-2:]] for w in islice(places.at, len(ends), None)])
             ids, lengths = ids[np.repeat(~held_out, lengths)], lengths[~held_out]
             rows = len(lengths)
             if not rows:
@@ -595,7 +653,11 @@ def _score_chunks(docs: DataFrame, model, buckets: int) -> DataFrame:
         odd = flat[inside] >= HEAD
         owners = np.repeat(np.arange(len(held), dtype=np.int32), np.diff(bounds) - 1)[odd]
         # each tail word of the chunk once, in the order of its hash, with its training count
-        spelt, places = np.unique(places[odd], return_inverse=True)
+        places, at = places[odd], np.zeros(len(ids), np.int64)
+        at[places] = 1
+        spelt = np.flatnonzero(at)
+        at[spelt] = np.arange(len(spelt))
+        places = at[places]
         by_tail = np.bincount(owners * n_tail + (ids[spelt] - HEAD)[places], minlength=len(held) * n_tail).astype(np.int32)
         order = np.argsort(all_hashes[spelt], kind="stable")
         hashes, kinds = all_hashes[spelt][order], (ids[spelt][order] - HEAD).astype(np.uint8)
@@ -623,7 +685,7 @@ def _score_chunks(docs: DataFrame, model, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([number]), "bucket": pa.array([int(b)], pa.int32()), "payload": pa.array([blob], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model.value[0])
+        coder = Coder(model.value[0], hashed=True)
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in text_groups(batches, 2, CHUNK_BYTES // 8):
             rows.append(batch)

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -405,6 +406,48 @@ def test_gradients_of_the_network():
         assert grads[k].dtype == v.dtype and grads[k][at] == pytest.approx((up - down) / 2e-4, abs=2e-4), k
 
 
+def test_windows_write_to_arrays_that_are_there():
+    rng = np.random.default_rng(2)
+    net, shape = L.Network(L.HEAD), (L.LEARN_STEPS, L.LEARN_STREAMS)
+    x, y = rng.integers(0, L.HEAD + L.TAILS, shape), rng.integers(0, L.HEAD + L.TAILS, shape)
+    keep, h = (rng.random(shape) > 0.01).astype("f4"), np.zeros((shape[1], L.STATE), "f4")
+    first = net.window(x, y, keep, h)
+    tracemalloc.start()
+    again = net.window(x, y, keep, h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20  # gradients and small arrays; what steps and outputs leave would be over twice that
+    assert again[0] == first[0] and all((again[1][k] == g).all() for k, g in first[1].items())
+
+
+def test_words_that_are_learnt_have_no_hashes():
+    vocab, docs = L.Vocab([L.END, b"head"], {b"ab": 3}), [[b"xab,", b"head", b"xab,", b"ab"], [], [b"other"]]
+    coder = L.Coder(vocab)
+    assert [d.tolist() for d in coder.coded(docs)] == [[L.HEAD + 3, 1, L.HEAD + 3, L.HEAD + 3, 0], [0], [L.HEAD, 0]]
+    assert not any(coder.hashes)
+    hashed = L.Coder(vocab, hashed=True)
+    assert [hashed.of(d).tolist() for d in docs] == [[2, 1, 2, 3], [], [4]]
+    assert hashed.known()[1].tolist() == [0, 0, *map(L.word_hash, (b"xab,", b"ab", b"other"))]
+
+
+def test_outputs_are_softmax_where_exponentials_overflow():
+    rng = np.random.default_rng(4)
+    net = L.Network(L.HEAD)
+    net.p["b"] += rng.normal(0, 200, net.p["b"].shape).astype("f4")
+    net.p["v"] += rng.normal(0, 200, net.p["v"].shape).astype("f4")
+    states, y = rng.normal(0, 0.5, (2500, L.STATE)).astype("f4"), rng.integers(0, L.HEAD + L.TAILS, 2500)
+    y[:1300] %= L.CLASS_SIZE  # one class of over ROWS rows
+    got, _ = net.outputs(np.append(states, np.ones((len(y), 1), "f4"), 1), y)
+    log_softmax = lambda a: a - a.max() - np.log(np.exp(a - a.max()).sum())
+    p = {k: v.astype("f8") for k, v in net.p.items()}
+    for state, target, found in zip(states.astype("f8"), y, got, strict=True):
+        c, k = divmod(int(target), L.CLASS_SIZE)
+        tail = target >= L.HEAD
+        want = log_softmax(state @ p["W"] + p["b"])[target - L.HEAD + L.HEAD_CLASSES if tail else c]
+        want += 0 if tail else log_softmax(state @ p["V"][c] + p["v"][c])[k]
+        assert found == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 def test_streams_score_as_single_documents():
     rng = np.random.default_rng(1)
     net = L.Network(500)
