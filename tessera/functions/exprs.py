@@ -128,6 +128,18 @@ def ieee_div(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, by_zero).otherwise(F.try_divide(a, b))
 
 
+def round_scaled(v: str | Column, digits: int) -> Column:
+    """Rounds doubles as SQL engines do that scale them: times a power of ten, to the nearest whole number
+    (halves away from zero), and back. Spark's own ``round`` rounds the shortest decimal text, which differs
+    where a product is, or just isn't, a half. Minus zero keeps its sign."""
+    x, scale = _col(v), F.lit(float(10**digits))
+    scaled = x * scale
+    near = F.rint(scaled)
+    near = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near)
+    back = near / scale
+    return F.when(F.abs(back) < float("inf"), back).otherwise(x)  # what overflows is whole anyway
+
+
 def plus(a, b) -> Column:
     return _col(a) + _or_lit(b)
 
